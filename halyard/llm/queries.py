@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from halyard.llm.mixing import op2_mixing
 from halyard.llm.packing import op1_packing
 from halyard.llm.token_counts import op10_token_counts
+from halyard.llm.url_reputation import OP9_SQL, op9_url_reputation
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op9_url_reputation": op9_url_reputation,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_reputation": OP9_SQL}
