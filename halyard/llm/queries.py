@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from halyard.llm.mixing import op2_mixing
 from halyard.llm.packing import op1_packing
+from halyard.llm.quality import op6_quality_rules
 from halyard.llm.token_counts import op10_token_counts
 from halyard.llm.url_reputation import OP9_SQL, op9_url_reputation
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op6_quality_rules": op6_quality_rules,
     "op9_url_reputation": op9_url_reputation,
     "op10_token_counts": op10_token_counts,
 }
