@@ -9,7 +9,9 @@ holds more than ``fan_in * open_windows`` windows, whatever the size of the corp
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from halyard.llm.common import stored, table
 
 #: Words kept in a worker's memory of token ids; beyond them it starts afresh.
-MEMORY = 600_000
+MEMORY = 1_000_000
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OPEN = f"{PIECE}, part long, ids binary"
 
@@ -45,15 +48,23 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.known: dict[str, bytes] = {"": b""}
+        self.word_end = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:"}
 
     def word(self, word: str) -> bytes:
         import unicodedata
 
-        if max(word) < "ɐ" and word.isprintable() and "<|" not in word:
+        if word.isascii() and word.isalpha():
+            low = word.lower()
+            if low != word:
+                return self.known.get(low) or self.word(low)
+            ids = [t.id for t in self.model.tokenize(word)]
+        elif word[-1] in ".,;:" and word[:-1].isalpha() and word[:-1].isascii():
+            return (self.known.get(word[:-1]) or self.word(word[:-1])) + self.word_end[word[-1]]
+        elif max(word) < "ɐ" and word.isprintable() and "<|" not in word:
             ids = [t.id for part in self.pattern.findall(unicodedata.normalize("NFC", word).lower()) for t in self.model.tokenize(part.encode().decode("latin1").translate(self.letters))]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
