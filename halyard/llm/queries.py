@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from halyard.llm.fingerprints import op4_fingerprints
 from halyard.llm.language import op8_language
+from halyard.llm.line_templates import op3_line_templates
 from halyard.llm.mixing import op2_mixing
 from halyard.llm.packing import op1_packing
 from halyard.llm.quality import op6_quality_rules
@@ -14,6 +15,7 @@ from halyard.llm.url_reputation import OP9_SQL, op9_url_reputation
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_line_templates": op3_line_templates,
     "op4_fingerprints": op4_fingerprints,
     "op5_subword_lm": op5_subword_lm,
     "op6_quality_rules": op6_quality_rules,
