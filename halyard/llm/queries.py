@@ -6,6 +6,7 @@ from halyard.llm.fingerprints import op4_fingerprints
 from halyard.llm.language import op8_language
 from halyard.llm.line_templates import op3_line_templates
 from halyard.llm.mixing import op2_mixing
+from halyard.llm.ngram_join import op7_ngram_join
 from halyard.llm.packing import op1_packing
 from halyard.llm.quality import op6_quality_rules
 from halyard.llm.subword_lm import op5_subword_lm
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_subword_lm": op5_subword_lm,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ngram_join": op7_ngram_join,
     "op8_language": op8_language,
     "op9_url_reputation": op9_url_reputation,
     "op10_token_counts": op10_token_counts,
