@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import n_words, stored, table
+from halyard.llm.common import WORD, n_words, stored, table
 
 #: The golden ratio's fraction in units of 2**-31: slot * GOLDEN mod 2**31 is exact in 64-bit integers.
 GOLDEN, UNIT = 1327217885, 1 << 31
@@ -136,5 +136,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     return taken.join(targets, "source").select("doc_id", source, "tie", "size", "source_size", "target", "start", "taken")
 
 
+def mix_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mixed documents: each row of ``docs`` once for every whole time that the schedule takes it.
+
+    Where a source's last slot ends inside a document, its first words up to there follow as one more row,
+    with ``n_chars`` (if there) set anew. Rows without words are not taken.
+    """
+    keys = [F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "tie", "size", "taken")]
+    taken = mix(docs, **options).where("taken > 0").select(*keys, F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy("start")).alias("mix_copy"))
+    own = docs.withColumn("mix_hash", F.xxhash64("text"))
+    own = own.withColumn("mix_own", F.row_number().over(Window.partitionBy("doc_id", "source", "mix_hash").orderBy("doc_id")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_hash") == F.col("mix_tie")) & (F.col("mix_own") == F.col("mix_copy"))
+    turns, rest = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
+    lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), turns.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    df = own.join(taken, same).withColumn("mix_words", F.explode(lengths))
+    # each source has one such row at most
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("mix_words").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    df = df.withColumn("text", F.when(F.col("mix_words") < 0, F.col("text")).otherwise(cut))
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.when(F.col("mix_words") < 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    return df.select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

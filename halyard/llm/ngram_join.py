@@ -345,5 +345,16 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame
     return df.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "th")
 
 
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row, the one with its smallest id.
+
+    Rows without n-grams all stay. Where ids are null or repeated, rows of equal id and text stay together.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), n, percent)
+    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
+    return docs.join(gone, same, "left_anti")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
