@@ -142,11 +142,13 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     Where a source's last slot ends inside a document, its first words up to there follow as one more row,
     with ``n_chars`` (if there) set anew. Rows without words are not taken.
     """
-    keys = [F.col(c).alias(f"mix_{c}") for c in ("doc_id", "source", "tie", "size", "taken")]
-    taken = mix(docs, **options).where("taken > 0").select(*keys, F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy("start")).alias("mix_copy"))
-    own = docs.withColumn("mix_hash", F.xxhash64("text"))
-    own = own.withColumn("mix_own", F.row_number().over(Window.partitionBy("doc_id", "source", "mix_hash").orderBy("doc_id")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_doc_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_hash") == F.col("mix_tie")) & (F.col("mix_own") == F.col("mix_copy"))
+    key = lambda doc_id, source, text: F.xxhash64(doc_id, source, text).alias("mix_key")
+    taken = mix(docs, **options).where("taken > 0").select(key("doc_id", "source", "tie"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), "start")
+    taken = taken.withColumn("mix_copy", F.row_number().over(Window.partitionBy("mix_key").orderBy("start"))).drop("start")
+    # equal rows are told apart by a number; as bounds, not as a join key, it leaves one shuffle of the texts
+    own = docs.withColumn("mix_key", key(F.col("doc_id").cast("long"), F.col("source"), F.xxhash64("text")))
+    own = own.withColumn("mix_own", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")))
+    same = (own["mix_key"] == taken["mix_key"]) & (F.col("mix_own") <= F.col("mix_copy")) & (F.col("mix_own") >= F.col("mix_copy"))
     turns, rest = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
     lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), turns.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
     df = own.join(taken, same).withColumn("mix_words", F.explode(lengths))
