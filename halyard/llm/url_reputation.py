@@ -89,7 +89,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     host, path = split_url(F.col("url"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "says": says})
-    known = reputation(judged.select("host"), outcomes.select(split_url(F.col("url"))[0].alias("host"), "bad"), threshold)
+    # stored, so that both sides of the join are plain shuffles and the partitions of a hot host can be split
+    known = stored(reputation(judged.select("host"), outcomes.select(split_url(F.col("url"))[0].alias("host"), "bad"), threshold).select("host", "blocked"))
     blocked = F.when(F.col("blocked"), "block").otherwise("allow")
     return judged.join(known, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("says", blocked).alias("verdict"))
 
