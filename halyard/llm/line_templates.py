@@ -72,10 +72,11 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
     bad = stored(_recurring(once.join(leaves, "leaf", "left_semi"), tokens, min_docs, fixed))
     hit = kept.join(bad, ["leaf", "lh"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     hit = hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    hit = hit.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "dropped")
-    df = docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_th")), "left")
+    hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th"), F.col("dropped").alias("_hit"))
+    df = docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_th")), "left")
     own = [c for c in docs.columns if c not in ("text", "n_lines", "dropped")]
-    return df.select(*(docs[c] for c in own), F.coalesce(F.size(F.split(docs["text"], "\n")), F.lit(0)).cast("long").alias("n_lines"), "dropped", _cleaned(docs["text"], F.col("dropped")).alias("text"))
+    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    return df.select(*own, n.alias("n_lines"), F.col("_hit").alias("dropped"), _cleaned(F.col("text"), F.col("_hit")).alias("text"))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

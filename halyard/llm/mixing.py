@@ -68,10 +68,10 @@ def schedule(targets: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     ``targets`` has (source, source_size, words) with ``words`` the whole words to take. Points meet
     their sources by a join on a grid of cells, within a cell by its bounds.
     """
-    spark = targets.sparkSession
+    spark, targets = targets.sparkSession, targets.where("words > 0")
     n = -(-total // block)
     order = Window.orderBy("source")
-    shares = targets.where("words > 0").withColumn("high", F.sum("words").over(order) / F.lit(float(max(total, 1)))).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
+    shares = targets.withColumn("high", F.sum("words").over(order) / F.lit(float(max(total, 1)))).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
     shares = shares.select("source", "words", "low", F.when(F.lead("low").over(order).isNull(), 2.0).otherwise(F.col("high")).alias("high"), F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
     point = (F.col("slot") % UNIT * GOLDEN % UNIT) / float(UNIT)

@@ -351,8 +351,8 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     Rows without n-grams all stay. Where ids are null or repeated, rows of equal id and text stay together.
     """
     found = near_duplicates(docs.select("doc_id", "text"), n, percent)
-    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
+    gone = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone_id"), F.col("th").alias("_gone_th")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_th"))
     return docs.join(gone, same, "left_anti")
 
 

@@ -36,6 +36,8 @@ PRIOR_WEIGHT, GOOD_SHARE, ROUNDS = 0.02, 0.85, 50
 #: A rule is written so that few good documents break it: the most that its reject votes may be wrong on them.
 MOST_WRONG = 0.01
 _POSITION = (1 << 24) - 1
+#: Windows of a text up to which their places fit beside their hashes.
+_MOST_WINDOWS = 1 << 24
 
 
 def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -76,7 +78,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     fast = f"sort_array(array_distinct(flatten(transform(d, i -> array({place('k[i - 1]')}, {place('k[i]')})))))"
     # rare: one group of places for each distinct window
     slow = "sort_array(flatten(filter(transform(array_distinct(g), x -> filter(transform(g, (y, i) -> case when x = y then i end), y -> y is not null)), x -> size(x) > 1)))"
-    df = df.select(*kept, *counts, F.expr(f"case when size(g) > {_POSITION} or {differs} then {slow} else {fast} end").alias("p"))
+    df = df.select(*kept, *counts, F.expr(f"case when size(g) > {_MOST_WINDOWS} or {differs} then {slow} else {fast} end").alias("p"))
     covered = "cast(coalesce(aggregate(transform(p, (x, i) -> case when i = 0 then 3 else least(3, x - p[i - 1]) end), 0, (s, x) -> s + x), 0) as long)"
     out = df.select(*kept, *counts, F.expr(covered).alias("n_repeat_words"))
     for k, c in enumerate(carry):
