@@ -56,8 +56,8 @@ class VectorCatalog:
             path += ".old"  # stopped between two renames
         try:
             found = json.loads(self.files.read(path))
-        except ValueError:
-            raise Corrupt(f"{path} is not JSON") from None
+        except Exception as e:  # noqa: BLE001  whatever the file system says of a damaged file
+            raise Corrupt(f"{path} can't be read as JSON: {str(e)[:200]}") from None
         if not isinstance(found, dict) or set(found) != KEYS or not all(isinstance(found[k], int) and found[k] >= 0 for k in KEYS - {"graph"}):
             raise Corrupt(f"{path} does not describe a generation")
         return found
