@@ -14,6 +14,7 @@ grows with it, and unseen words keep their subword probability.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,8 +31,8 @@ MARK = "▁"
 SHARE = 1e-6
 ROUNDS, SMOOTH, LONGEST = 2, 0.1, 64
 #: Words kept in a worker's memory; beyond them it starts afresh.
-MEMORY = 400_000
-_MIX, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 1 << 20
+MEMORY = 700_000
+_MIX, _SLOTS, _SHIFT, _LOW = np.uint64(0x9E3779B97F4A7C15), 1 << 20, 64 - 20, 18
 
 
 class Lattice:
@@ -41,17 +42,19 @@ class Lattice:
         self.ids = {p: i for i, p in enumerate(pieces) if p and i not in set(bytes_.values())}
         self.bytes, self.n = bytes_, len(pieces)
         self.most = max(map(len, self.ids))
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        left = [(self._hash(p), i) for p, i in self.ids.items()]
-        while left:  # a slot holds one piece; those that meet a taken slot go to the next table
-            keys, found, next_ = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int64), []
-            for h, i in left:
-                slot = (h * int(_MIX) % (1 << 64)) >> 44
-                if found[slot] < 0:
-                    keys[slot], found[slot] = h, i
+        # a slot says whether a string is a piece, and whether longer pieces begin with it
+        longer = {p[:i] for p in self.ids for i in range(1, len(p))}
+        left = [(self._hash(p), 2 * (self.ids.get(p, -1) + 1) + (p in longer)) for p in longer | set(self.ids)]
+        self.tables: list[np.ndarray] = []
+        while left:  # a slot holds one string; those that meet a taken slot go to the next table
+            table, next_ = np.zeros(_SLOTS, np.uint64), []
+            for h, x in left:
+                slot = (h * int(_MIX) % (1 << 64)) >> _SHIFT
+                if not table[slot]:
+                    table[slot] = h >> _LOW << _LOW | x
                 else:
-                    next_.append((h, i))
-            self.tables.append((keys, found))
+                    next_.append((h, x))
+            self.tables.append(table)
             left = next_
 
     @staticmethod
@@ -61,13 +64,19 @@ class Lattice:
             h = (h * 0x100000001B3 + ord(c) + 1) % (1 << 64)
         return h
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        slot = (h * _MIX) >> np.uint64(44)
-        out = np.full(len(h), -1, np.int64)
-        for keys, found in self.tables:
-            hit = (keys[slot] == h) & (found[slot] >= 0) & (out < 0)
-            out[hit] = found[slot[hit]]
-        return out
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece or -1, whether longer pieces begin so) for hashes of strings."""
+        slot = (h * _MIX) >> np.uint64(_SHIFT)
+        own = self.tables[0][slot]
+        hit = (own ^ h) >> np.uint64(_LOW) == 0
+        for table in self.tables[1:]:
+            at = np.flatnonzero(~hit & (own > 0))  # the slot is another's
+            if not len(at):
+                break
+            own[at] = table[slot[at]]
+            hit[at] = (own[at] ^ h[at]) >> np.uint64(_LOW) == 0
+        x = np.where(hit & (own > 0), own & np.uint64((1 << _LOW) - 1), 0).astype(np.int64)
+        return (x >> 1) - 1, (x & 1).astype(bool)
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -76,18 +85,21 @@ class Lattice:
         """(start, end, rows, log probabilities, piece ids or None where spelt) of each span with a piece."""
         n, length = codes.shape
         for s in range(length):
-            h = np.zeros(n, np.uint64)
+            live, h = np.arange(n), np.zeros(n, np.uint64)
             for e in range(s + 1, min(length, s + self.most) + 1):
-                h = h * np.uint64(0x100000001B3) + codes[:, e - 1] + np.uint64(1)
-                ids = self.find(h)
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    yield s, e, rows, logp[ids[rows]], ids[rows]
-                if e == s + 1 and len(rows) < n:
-                    rows = np.flatnonzero(ids < 0)
+                h = h * np.uint64(0x100000001B3) + codes[live, e - 1] + np.uint64(1)
+                ids, longer = self.find(h)
+                hit = ids >= 0
+                if hit.any():
+                    yield s, e, live[hit], logp[ids[hit]], ids[hit]
+                if e == s + 1 and not hit.all():
+                    rows = live[~hit]
                     chars, at = np.unique(codes[rows, s], return_inverse=True)
                     cost = np.array([logp[self.spell(chr(int(c)))].sum() for c in chars])
                     yield s, e, rows, cost[at.ravel()], None
+                live, h = live[longer], h[longer]
+                if not len(live):
+                    break
 
     def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         by_length: dict[int, list[int]] = {}
@@ -132,15 +144,18 @@ class Lattice:
                 a[e, rows] = np.logaddexp(a[e, rows], a[s, rows] + p)
             for s, e, rows, p, _ in reversed(edges):
                 b[s, rows] = np.logaddexp(b[s, rows], b[e, rows] + p)
-            w = weights[at]
+            w, pieces, uses = weights[at], [], []
             for s, e, rows, p, ids in edges:
                 use = w[rows] * np.exp(a[s, rows] + p + b[e, rows] - a[-1, rows])
                 if ids is not None:
-                    total += np.bincount(ids, use, self.n)
+                    pieces.append(ids)
+                    uses.append(use)
                 else:
                     for c, u in zip(codes[rows, s], use):
                         for i in self.spell(chr(int(c))):
                             total[i] += u
+            if pieces:
+                total += np.bincount(np.concatenate(pieces), np.concatenate(uses), self.n)
         return total
 
     def _long(self, word: str, logp: np.ndarray, gather: tuple | None) -> float:
@@ -228,9 +243,15 @@ def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = RO
 
         def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             lattice, _ = load(path or default_path())
-            total = np.zeros(lattice.n)
+            total, words, weights = np.zeros(lattice.n), [], []
             for batch in batches:
-                total += lattice.expect([MARK + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), logp)
+                words += [MARK + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
+                weights.append(batch.column(1).to_numpy().astype(float))
+                if len(words) >= 50_000:
+                    total += lattice.expect(words, np.concatenate(weights), logp)
+                    words, weights = [], []
+            if words:
+                total += lattice.expect(words, np.concatenate(weights), logp)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 
@@ -242,6 +263,69 @@ def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = RO
     return logp
 
 
+class _Scorer:
+    """Words remembered with their scores: lattice and final log10 probability, log10(c + 1) if common, and whether it is."""
+
+    def __init__(self, lattice: Lattice, logp: np.ndarray, keys: np.ndarray, counts: np.ndarray, seen: float, n: int):
+        self.lattice, self.logp, self.keys, self.counts, self.seen, self.n = lattice, logp, keys, counts, seen, n
+        self.memory: dict[bytes, int] = {}
+        self.own, self.hashes = np.zeros((1024, 4)), np.zeros(1024, np.int64)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        memory = self.memory
+        new = list({w for text in texts for w in text if w not in memory})
+        if memory and len(memory) + len(new) > MEMORY:
+            memory.clear()
+            new = list({w for text in texts for w in text})
+        at, end = len(memory), len(memory) + len(new)
+        if end > len(self.own):
+            more = end // 2 + 1024
+            self.own = np.concatenate([self.own[:at], np.zeros((end - at + more, 4))])
+            self.hashes = np.concatenate([self.hashes[:at], np.zeros(end - at + more, np.int64)])
+        if not new:
+            return
+        fresh = self.own[at:end]
+        fresh[:, 0] = self.lattice.score([MARK + w.decode("utf-8", "replace") for w in new], self.logp) / math.log(10)
+        h = self.hashes[at:end] = np.fromiter(map(key_of, new), np.int64, len(new))
+        fresh[:, 1], fresh[:, 2:] = math.log10(1 - self.seen) + fresh[:, 0], 0
+        if len(self.keys):
+            found = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = self.keys[found] == h
+            c = self.counts[found[hit]]
+            if self.seen:
+                fresh[hit, 1] = np.logaddexp(np.log(self.seen * c / self.n), fresh[hit, 1] * math.log(10)) / math.log(10)
+            fresh[hit, 2], fresh[hit, 3] = np.log10(c + 1.0), 1
+        memory.update(zip(new, range(at, end)))
+
+    def score(self, texts: list[list[bytes]], end_score: float) -> list[pa.Array]:
+        """Columns n_tokens, known, base, score, and keys, times and spelt of the words that are not common."""
+        self.learn(texts)
+        out: list[list] = [[] for _ in range(7)]
+        for text in texts:
+            ids = np.fromiter(map(self.memory.__getitem__, text), np.int64, len(text))
+            own = self.own[ids]
+            sums = own.sum(0)
+            left = ids[own[:, 3] == 0]
+            rare, first, times = np.unique(self.hashes[left], return_index=True, return_counts=True)
+            for column, x in zip(out, (len(text) + 1, int(sums[3]), sums[2], sums[1] + end_score, rare, times, self.own[left[first], 0])):
+                column.append(x)
+        plain = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
+        size = pa.array(np.r_[0, np.cumsum([len(x) for x in out[4]])], pa.int32())
+        lists = [pa.ListArray.from_arrays(size, pa.array(np.concatenate(c).astype(t))) for c, t in zip(out[4:], (np.int64, np.int32, np.float32))]
+        return plain + lists
+
+
+_kept: dict[str, _Scorer] = {}
+
+
+def _scorer(run: str, make) -> _Scorer:
+    """The scorer of this run that the worker made before, if it did."""
+    if run not in _kept:
+        _kept.clear()
+        _kept[run] = make()
+    return _kept[run]
+
+
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = SHARE, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -269,7 +353,6 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
     logp = train(words, ends, path)
     once = words.where("n = 1").count()
     seen = min(max(1 - once / n, 0.0), 0.999) if n else 0.0
-    spelt = math.log10(1 - seen)
     lattice, _ = load(path or default_path())
     inner = sum(math.exp(logp[i]) for p, i in lattice.ids.items() if p[0] != MARK) + sum(math.exp(logp[i]) for i in lattice.bytes.values())
     end_score = math.log10((seen * ends / n if n else 0.0) + (1 - seen) * math.exp(logp[-1]) / (1 - inner))
@@ -278,49 +361,20 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
     common = words.where(F.col("n") >= least).select("key", "n").orderBy("key").toPandas()  # at most 1 / share
     common = spark.sparkContext.broadcast((common["key"].to_numpy("int64"), common["n"].to_numpy("int64")))
 
+    run = uuid.uuid4().hex
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lattice, _ = load(path or default_path())
-        keys, counts = common.value
-        memory: dict[bytes, int] = {}
-        own = np.zeros((MEMORY * 2, 4))  # lattice and final log10 probability, log10(c + 1) where common, and whether it is
-        hashes = np.zeros(MEMORY * 2, np.int64)
+        scorer = _scorer(run, lambda: _Scorer(load(path or default_path())[0], logp.value, *common.value, seen, n))
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            out: list[list] = [[] for _ in range(8)]
-            for k in range(0, len(texts), 256):
-                part = texts[k : k + 256]
-                new = list({w for text in part for w in text if w not in memory})
-                if len(memory) + len(new) > MEMORY:
-                    memory.clear()
-                    new = list({w for text in part for w in text})
-                if len(new) > len(own) - len(memory):
-                    own, hashes = np.zeros((len(new) * 2, 4)), np.zeros(len(new) * 2, np.int64)
-                if new:
-                    at = len(memory)
-                    fresh = own[at : at + len(new)]
-                    fresh[:, 0] = lattice.score([MARK + w.decode("utf-8", "replace") for w in new], logp.value) / math.log(10)
-                    h = hashes[at : at + len(new)] = np.fromiter(map(key_of, new), np.int64, len(new))
-                    fresh[:, 1], fresh[:, 2:] = spelt + fresh[:, 0], 0
-                    if len(keys):
-                        found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                        hit = keys[found] == h
-                        c = counts[found[hit]]
-                        fresh[hit, 1] = np.logaddexp(np.log(seen * c / n) if seen else -np.inf, fresh[hit, 1] * math.log(10)) / math.log(10)
-                        fresh[hit, 2], fresh[hit, 3] = np.log10(c + 1.0), 1
-                    memory.update(zip(new, range(at, at + len(new))))
-                for text in part:
-                    ids = np.fromiter(map(memory.__getitem__, text), np.int64, len(text))
-                    sums = own[ids].sum(0)
-                    rare, first, times = np.unique(hashes[left := ids[own[ids, 3] == 0]], return_index=True, return_counts=True)
-                    for column, x in zip(out, (row, len(text) + 1, int(sums[3]), sums[2], sums[1] + end_score, rare, times, own[left[first], 0])):
-                        column.append(x)
-                    row += 1
-            size = lambda c: pa.array(np.r_[0, np.cumsum([len(x) for x in c])], pa.int32())
-            lists = [pa.ListArray.from_arrays(size(c), pa.array(np.concatenate(c) if c else [], t, safe=False)) for c, t in ((out[5], pa.int64()), (out[6], pa.int32()), (out[7], pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))), *lists], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "keys", "times", "spelt"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = scorer.score([words_of(t) for t in part.column(1).to_pylist()], end_score)
+                rows = pa.array(range(row, row + part.num_rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, *found], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "keys", "times", "spelt"])
+                row += part.num_rows
 
     scored = base.select("doc_id", "text", "held_out").mapInArrow(score, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, keys array<long>, times array<int>, spelt array<float>")
     scored = stored(scored)
