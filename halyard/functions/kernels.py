@@ -24,18 +24,40 @@ def inverse_norm(a: np.ndarray) -> np.ndarray:
         return (1.0 / np.sqrt(norm2(a).astype(np.float64))).astype(np.float32)
 
 
+#: Queries and rows of a tile, small enough for a core's cache.
+TILE = (64, 1024)
+
+
+def _sum(mode: str, asked: np.ndarray, columns: np.ndarray, out: np.ndarray) -> None:
+    """Sums over dimensions in order, of squared differences or of products, into ``out``."""
+    total, term = np.zeros(out.shape, np.float32), np.empty(out.shape, np.float32)
+    for q, v in zip(asked, columns):
+        if mode == "l2":
+            np.subtract(q[:, None], v, out=term)
+            np.multiply(term, term, out=term)
+        else:
+            np.multiply(q[:, None], v, out=term)
+        total += term
+    out[:] = total
+
+
 def scores(mode: str, queries: np.ndarray, inverse: np.ndarray, rows: np.ndarray, strict: bool = True) -> np.ndarray:
     """(queries, rows) distances. Without ``strict`` sums are left to the linear algebra library."""
-    if mode == "l2" and strict:
-        out = np.zeros((len(queries), len(rows)), np.float32)
-        for j in range(rows.shape[1]):
-            d = queries[:, j, None] - rows[None, :, j]
-            out += d * d
-        return out
-    if strict:
-        out = np.zeros((len(queries), len(rows)), np.float32)
-        for j in range(rows.shape[1]):
-            out += queries[:, j, None] * rows[None, :, j]
+    if strict and len(queries) == 1 and len(rows) <= TILE[1]:
+        d = rows - queries if mode == "l2" else rows * queries
+        if mode == "l2":
+            d *= d
+        out = np.add.accumulate(d, axis=1)[None, :, -1] + np.float32(0)  # running sums keep the order
+        if mode == "l2":
+            return out
+    elif strict:
+        out = np.empty((len(queries), len(rows)), np.float32)
+        columns, asked = np.ascontiguousarray(rows.T), np.ascontiguousarray(queries.T)
+        for i in range(0, len(queries), TILE[0]):
+            for j in range(0, len(rows), TILE[1]):
+                _sum(mode, asked[:, i : i + TILE[0]], columns[:, j : j + TILE[1]], out[i : i + TILE[0], j : j + TILE[1]])
+        if mode == "l2":
+            return out
     else:
         out = queries @ rows.T
     if mode == "l2":

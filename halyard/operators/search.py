@@ -52,14 +52,25 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.k, self.q = k, np.zeros(0, np.int64)
         self.row, self.id, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        self.limit = np.full(n, np.inf, np.float32)  # distance of the k-th so far
+
+    def candidates(self, d: np.ndarray, first: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) places of ``d``, of queries from ``first``, that may be among the k nearest."""
+        limit = self.limit[first : first + len(d)]
+        if np.isfinite(limit).all():
+            return np.nonzero(d <= limit[:, None])
+        return kernels.smallest(d, order, self.k)
 
     def add(self, q: np.ndarray, row: np.ndarray, id_: np.ndarray, d: np.ndarray) -> None:
         q, row, id_, d = (np.concatenate(x) for x in ((self.q, q), (self.row, row), (self.id, id_), (self.d, d)))
         order = np.lexsort((row, d, q))
         q = q[order]
-        keep = order[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
-        keep_q = np.concatenate([q])[np.arange(len(q)) - np.searchsorted(q, q) < self.k]
-        self.q, self.row, self.id, self.d = keep_q, row[keep], id_[keep], d[keep]
+        near = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        keep = order[near]
+        self.q, self.row, self.id, self.d = q[near], row[keep], id_[keep], d[keep]
+        last = np.searchsorted(self.q, np.arange(len(self.limit)), "right") - 1
+        full = np.bincount(self.q, minlength=len(self.limit)) == self.k
+        self.limit[full] = self.d[last[full]]
 
 
 def exact_search(rows: DataFrame, queries: DataFrame, config: CollectionConfig, params: SearchParams = SearchParams(), strict: bool = True) -> DataFrame:
@@ -83,7 +94,7 @@ def exact_search(rows: DataFrame, queries: DataFrame, config: CollectionConfig,
                 for s in range(0, len(row), ROWS):
                     for t in range(0, len(q), ROWS):
                         d = kernels.scores(mode, q[t : t + ROWS], inverse[t : t + ROWS], v[s : s + ROWS], strict)
-                        at, c = kernels.smallest(d, row[s : s + ROWS], k)
+                        at, c = best.candidates(d, t, row[s : s + ROWS])
                         best.add(at + t, row[s : s + ROWS][c], id_[s : s + ROWS][c], d[at, c])
             yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.row), pa.array(best.id), pa.array(best.d)], ["qid", "row_id", "id", "distance"])
 

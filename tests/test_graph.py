@@ -59,7 +59,7 @@ def test_deleted_nodes_lead_on_but_are_not_found(spark):
 
 
 def test_equal_vectors_stay_reachable(spark):
-    config = CollectionConfig(4, index="hnsw", graph=GraphParams(m=4, ef_construction=20, shards=1))
+    config = CollectionConfig(4, index="hnsw", graph=GraphParams(m=16, ef_construction=100, shards=1))
     g = graph.build(rows(spark, np.array([[0.25, -1.0, 3.0, 0.5]] * 150, np.float32)), config)
     assert {r["n"] for r in graph.unreachable(g).collect()} == {0}
 
