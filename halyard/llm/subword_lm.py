@@ -1,7 +1,7 @@
 """Language-model scores from a lattice of subwords.
 
 The pieces of an existing vocabulary, in the order of its scores, start as a Zipf distribution; a few
-rounds of expectation-maximisation over the words of the training documents set their probabilities.
+rounds of expectation-maximisation over the distinct words of the training documents set their probabilities.
 A word's probability is the sum over all its segmentations into pieces, by a forward recursion in
 log space, and a text's that of its words and one end. Characters outside the vocabulary are spelt
 in bytes, so every text has a positive probability, and all of them together at most one.
@@ -234,8 +234,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces and the end, from (word, n) and the number of documents.
+    """Log probabilities of the pieces and the end, from the distinct words (word, n) of training.
 
+    Each distinct word counts once, however often it stands there: the lattice has to tell how likely
+    words are that were never seen, and those are like rare words, not like the most frequent ones.
     Each round sends one expected count for each piece and partition; the vocabulary bounds what meets.
     """
     lattice, logp = load(path or default_path())
@@ -246,7 +248,7 @@ def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = RO
             total, words, weights = np.zeros(lattice.n), [], []
             for batch in batches:
                 words += [MARK + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-                weights.append(batch.column(1).to_numpy().astype(float))
+                weights.append(np.ones(batch.num_rows))
                 if len(words) >= 50_000:
                     total += lattice.expect(words, np.concatenate(weights), logp)
                     words, weights = [], []
@@ -258,7 +260,7 @@ def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = RO
         found = words.select("word", "n").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.full(lattice.n + 1, SMOOTH)
         uses[found["piece"].to_numpy(int)] += found["uses"].to_numpy(float)
-        uses[-1] += ends
+        uses[-1] += min(ends, 1)
         logp = np.log(uses / uses.sum())
     return logp
 
