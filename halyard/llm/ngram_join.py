@@ -30,7 +30,7 @@ from halyard.llm.common import stored, table
 from halyard.llm.components import Forest, components
 
 #: Longest inverted list whose pairs are counted; keys of one index task; classes of one tile.
-SHORT, KEYS, TILE = 32, 2_000_000, 10_000
+SHORT, KEYS, TILE = 32, 250_000, 10_000
 #: Members at which a component of a block gets an index of its own.
 LARGE = 64
 MEMORY = 400_000
