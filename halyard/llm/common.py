@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.storage import shared_dir, stored
+
 #: Six ASCII white-space characters part words; everything else belongs to a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["SPACES", "WORD", "clean", "crc_of_id", "n_words", "shared_dir", "stored", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="halyard-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/halyard-{spark.sparkContext.applicationId}"
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends, and a lost executor costs no rerun.
-
-    The folder is named after the application; :func:`clean` removes it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def clean(spark: SparkSession) -> None:
