@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.config import NO_ID, CollectionConfig, SearchParams
+from halyard.errors import InvalidInput
 from halyard.functions import kernels, vectors
 from halyard.operators.validation import check_queries
 
 #: Bytes of queries broadcast at once; rows of a partition scored at once.
 BLOCK_BYTES, ROWS = 64 << 20, 2048
+#: Queries of the expression form.
+MOST_ASKED = 4096
 CANDIDATE = "qid long, row_id long, id long, distance float"
 
 
@@ -105,11 +108,13 @@ def exact_search(rows: DataFrame, queries: DataFrame, config: CollectionConfig,
 
 
 def search_expression(rows: DataFrame, queries: DataFrame, config: CollectionConfig, k: int) -> DataFrame:
-    """The same result as plain expressions: every query, of a stated small set, meets every row."""
+    """The same result as plain expressions, for at most MOST_ASKED queries: they are broadcast, and each meets every row."""
+    if queries.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        raise InvalidInput(f"more than {MOST_ASKED} queries; use exact_search")
     inverse = vectors.inverse_norm(F.col("query")) if config.normalize else F.lit(1.0).cast("float")
     q = queries.select("qid", "query", inverse.alias("inverse"))
     live = rows.where("not deleted").select("row_id", "id", "vector")
-    met = live.join(F.broadcast(q.limit(4096)))
+    met = live.join(F.broadcast(q))
     return ranked(met.select("qid", "row_id", "id", vectors.score(config.mode, F.col("query"), F.col("inverse"), F.col("vector")).alias("distance")), k)
 
 

@@ -361,7 +361,26 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Coll
     return graph.build(_rows(base), config), _asked(base), config
 
 
-@query("hnsw_levels")
+_TWO64 = f"{1 << 64}::UHUGEINT"
+
+
+def _sql_mixed(source: str, column: str, tag: str) -> str:
+    """SQL of three steps of splitmix64 on ``column`` (below 2**64) of ``source``; ``{tag}3`` has (node, z)."""
+    shifted = lambda bits: f"xor(z, z // {1 << bits}::UHUGEINT)"
+    return f"""{tag}0 AS (SELECT node, ({column} + {random.STEP}::UHUGEINT) % {_TWO64} AS z FROM {source}),
+{tag}1 AS (SELECT node, ({shifted(30)} * {random.MIX_A}::UHUGEINT) % {_TWO64} AS z FROM {tag}0),
+{tag}2 AS (SELECT node, ({shifted(27)} * {random.MIX_B}::UHUGEINT) % {_TWO64} AS z FROM {tag}1),
+{tag}3 AS (SELECT node, {shifted(31)} AS z FROM {tag}2)"""
+
+
+_BOUND = f"{1 << 53}::UHUGEINT // (z // {1 << 11}::UHUGEINT + 1::UHUGEINT)"
+_POWERS = " + ".join(f"(b >= {16**k}::UHUGEINT)::INT" for k in range(1, 14))
+_LEVELS = f"""WITH n AS (SELECT vec_id AS node, vec_id::UHUGEINT AS z FROM embeddings), {_sql_mixed("n", "z", "a")},
+m AS (SELECT node, xor(z, {GraphParams().seed}::UHUGEINT) AS z FROM a3), {_sql_mixed("m", "z", "c")}
+SELECT node, ({_POWERS})::INT AS level FROM (SELECT node, {_BOUND} AS b FROM c3)"""
+
+
+@query("hnsw_levels", _LEVELS)
 def hnsw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, level): the top level that each row number would have in one graph."""
     p = GraphParams()
