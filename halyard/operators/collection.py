@@ -43,15 +43,12 @@ class VectorCollection:
         vector = F.col("vector").cast("array<float>").alias("vector")
         batch = batch.select(F.col("id").cast("long").alias("id"), vector, F.col(order or "id").alias("sort_key"))
         batch = numbered(batch, ["sort_key", "id"], "position_in_batch").drop("sort_key")
-        batch = stored(batch)
-        n = batch.count()
+        n, most = check_batch(batch, self.live() if self.next_row else None, self.config, upsert)
         if not n:
             return 0
-        check_batch(batch, self.live(), self.config, upsert)
         unit = vectors.normalize(F.col("vector")) if self.config.normalize else F.col("vector")
         new = batch.select((F.col("position_in_batch") + self.next_row).alias("row_id"), "id", unit.alias("vector"), F.lit(False).alias("deleted"))
-        old = self._marked(batch.select("id")) if upsert else self.rows
-        most = batch.agg(F.max("id")).first()[0]
+        old = self._marked(batch.select("id")) if upsert and self.next_row else self.rows
         self._commit(old.unionByName(new), self.next_row + n, max(self.next_id, most + 1))
         return n
 

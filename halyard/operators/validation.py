@@ -10,9 +10,8 @@ from halyard.errors import DuplicateId, InvalidInput
 from halyard.functions import vectors
 
 
-def vector_report(rows: DataFrame, key: str, vector: str, config: CollectionConfig) -> DataFrame:
-    """(key, code, position, problem) of each vector that breaks a rule: length, then components, then norm."""
-    at = vectors.invalid_component(F.col(vector))
+def _judged(rows: DataFrame, vector: str, config: CollectionConfig) -> DataFrame:
+    """``rows`` with ``code`` (null if sound), ``position`` and ``problem`` of its vector."""
     x = F.get(F.col(vector), F.col("position"))
     size = F.size(vector) != config.dim
     code = F.when(F.col(vector).isNull() | size, 1).when(F.col("position").isNotNull(), 2)
@@ -20,8 +19,13 @@ def vector_report(rows: DataFrame, key: str, vector: str, config: CollectionConf
         code = code.when(vectors.inverse_norm(F.col(vector)).isNull(), 3)
     what = F.when(F.col("code") == 1, F.lit(f"vector does not have {config.dim} components")).when(F.col("code") == 3, F.lit("vector cannot be normalized"))
     what = what.when(x.isNull(), "component is null").when(F.isnan(x), "component is NaN").when(F.abs(x) == float("inf"), "component is infinite")
-    df = rows.withColumn("position", at).withColumn("code", code).where("code is not null")
-    return df.select(key, "code", "position", what.otherwise(F.lit(f"component is larger than {LARGEST:g}")).alias("problem"))
+    df = rows.withColumn("position", vectors.invalid_component(F.col(vector))).withColumn("code", code)
+    return df.withColumn("problem", what.otherwise(F.lit(f"component is larger than {LARGEST:g}")))
+
+
+def vector_report(rows: DataFrame, key: str, vector: str, config: CollectionConfig) -> DataFrame:
+    """(key, code, position, problem) of each vector that breaks a rule: length, then components, then norm."""
+    return _judged(rows, vector, config).where("code is not null").select(key, "code", "position", "problem")
 
 
 def duplicate_ids(rows: DataFrame) -> DataFrame:
@@ -40,22 +44,25 @@ def check_queries(queries: DataFrame, config: CollectionConfig) -> None:
         raise InvalidInput(f"query {worst['qid']}: {worst['problem']}")
 
 
-def check_batch(rows: DataFrame, live: DataFrame, config: CollectionConfig, upsert: bool) -> None:
-    """Raises for the first broken rule of a batch (position, id, vector), in the order of the rules.
+def check_batch(rows: DataFrame, live: DataFrame | None, config: CollectionConfig, upsert: bool) -> tuple[int, int]:
+    """(number of rows, largest id) of a batch (position_in_batch, id, vector), or raises for the first broken rule.
 
-    Lengths and components, duplicate ids, null ids, norms, then ids that exist already.
+    In the order of the rules: lengths and components, duplicate ids, null ids, norms, then ids that are
+    live already. One aggregate sees all but the last; ``live`` is None where nothing is.
     """
-    report = vector_report(rows, "position_in_batch", "vector", config).orderBy(F.col("code") == 3, "position_in_batch").first()
-    if report and report["code"] != 3:
-        raise InvalidInput(f"row {report['position_in_batch']}: {report['problem']}")
-    twice = duplicate_ids(rows).orderBy("id").first()
-    if twice:
+    bad = F.when(F.col("code").isNotNull(), F.struct((F.col("code") == 3).alias("norm"), "position_in_batch", "problem"))
+    s = _judged(rows, "vector", config).agg(F.count("*").alias("n"), F.max("id").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count_distinct("id").alias("ids"), F.min(bad).alias("bad")).first()
+    if s["bad"] and not s["bad"]["norm"]:
+        raise InvalidInput(f"row {s['bad']['position_in_batch']}: {s['bad']['problem']}")
+    if s["ids"] + s["nulls"] < s["n"]:
+        twice = duplicate_ids(rows.where("id is not null")).orderBy("id").first()
         raise DuplicateId(f"id {twice['id']} stands {twice['n']} times in the batch")
-    if rows.where("id is null").take(1):
+    if s["nulls"]:
         raise InvalidInput("an id is null")
-    if report:
-        raise InvalidInput(f"row {report['position_in_batch']}: {report['problem']}")
-    if not upsert:
+    if s["bad"]:
+        raise InvalidInput(f"row {s['bad']['position_in_batch']}: {s['bad']['problem']}")
+    if s["n"] and not upsert and live is not None:
         known = existing_ids(rows, live).orderBy("position_in_batch").first()
         if known:
             raise DuplicateId(f"id {known['id']} exists already")
+    return s["n"], s["most"]
