@@ -375,12 +375,16 @@ def _sql_mixed(source: str, column: str, tag: str) -> str:
 
 _BOUND = f"{1 << 53}::UHUGEINT // (z // {1 << 11}::UHUGEINT + 1::UHUGEINT)"
 _POWERS = " + ".join(f"(b >= {16**k}::UHUGEINT)::INT" for k in range(1, 14))
-_LEVELS = f"""WITH n AS (SELECT vec_id AS node, vec_id::UHUGEINT AS z FROM embeddings), {_sql_mixed("n", "z", "a")},
+
+
+def _sql_levels(node: str) -> str:
+    return f"""WITH n AS (SELECT {node} AS node, ({node})::UHUGEINT AS z FROM embeddings), {_sql_mixed("n", "z", "a")},
 m AS (SELECT node, xor(z, {GraphParams().seed}::UHUGEINT) AS z FROM a3), {_sql_mixed("m", "z", "c")}
 SELECT node, ({_POWERS})::INT AS level FROM (SELECT node, {_BOUND} AS b FROM c3)"""
 
 
-@query("hnsw_levels", _LEVELS)
+
+@query("hnsw_levels", _sql_levels("vec_id"))
 def hnsw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, level): the top level that each row number would have in one graph."""
     p = GraphParams()
@@ -394,7 +398,7 @@ def hnsw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _embeddings(spark, sf_dir).select(F.col("vec_id").alias("node"), level("vec_id").alias("level"))
 
 
-@query("hnsw_level_histogram")
+@query("hnsw_level_histogram", f"SELECT g.level::INT AS level, count(l.node) AS n FROM range(17) g(level) LEFT JOIN ({_sql_levels('vec_id // 8')}) l ON l.level = g.level GROUP BY g.level")
 def hnsw_level_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.level_histogram(_graph(spark, sf_dir)[0], GraphParams().max_level)
 
