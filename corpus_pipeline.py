@@ -13,16 +13,22 @@ from halyard.llm.packing import pack_documents
 from halyard.llm.quality import judge
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs``, and all its columns as one, so that no name meets an operator's own."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge(docs, docs.columns).where("kept").select(*docs.columns)
+    return judge(_packed(docs, "text"), ["_row"]).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those of nothing else go, since the lines stay in the first."""
-    df = drop_templates(docs).where("dropped is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    n = F.when(F.col("dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
-    return df.withColumn("n_chars", n).select(*docs.columns)
+    df = drop_templates(_packed(docs, "doc_id", "text")).where("dropped is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    n = F.when(F.col("dropped").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("text").cast("long"))
+    new = {"text": F.col("text"), "n_chars": n.alias("n_chars")}
+    return df.select(*(new.get(c, F.col(f"_row.`{c}`")) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

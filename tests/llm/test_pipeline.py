@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -11,7 +12,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_the_columns_and_the_clean_documents(spark, awkward, make):
-    clean = [(1000 + i, ".\n".join(" the ".join(words(15, f"{i}-{k}")) for k in range(6)) + ".", f"s{i % 3}") for i in range(40)]
+    rng = random.Random(1)
+    line = lambda seed: " the ".join(" ".join("".join(rng.choices("abdeklmnorst", k=5)) for _ in range(6)) for j in range(4))
+    clean = [(1000 + i, ".\n".join(line(f"{i}-{k}") for k in range(6)) + ".", f"s{i % 3}") for i in range(40)]
     copies = [(2000 + i, clean[i][1] + " more", "s1") for i in range(3)]
     junk = [(3000, "!! ".join(x.upper() for x in words(90, 1)), "s1")]
     docs = stored(make(clean + copies + junk))
@@ -28,6 +31,21 @@ def test_stages_keep_the_columns_and_the_clean_documents(spark, awkward, make):
     assert seen[3] <= ids and seen[4] == seen[3]
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_awkward_documents(spark, awkward, empty, name, stage):
+    """Nulls, clashing columns and empty tables; other columns come through as they were."""
+    for docs in (awkward, empty):
+        out = stage(spark, docs, "")
+        rows = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r["dropped"] == r["kept"] == r["n"] == "clash" for r in rows)
+        if docs is empty:
+            assert not rows
+        elif name != "quality":  # which may reject all of so few
+            assert rows
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
 def test_run_over_small_tables(spark):
     out = corpus_pipeline.run(spark, SMALL)
