@@ -10,15 +10,23 @@ from halyard.storage import shared_dir, stored
 #: Six ASCII white-space characters part words; everything else belongs to a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS_A_BATCH = 1000
 
 
-__all__ = ["SPACES", "WORD", "clean", "crc_of_id", "n_words", "shared_dir", "stored", "table"]
+__all__ = ["SPACES", "WORD", "clean", "crc_of_id", "n_words", "shared_dir", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ROWS_A_BATCH texts in this session: a batch of long texts is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_A_BATCH:
+        spark.conf.set(key, ROWS_A_BATCH)
+
+
 def clean(spark: SparkSession) -> None:
     """Removes every table that :func:`stored` wrote in this application."""
     jvm = spark.sparkContext._jvm

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import stored, table
+from halyard.llm.common import small_batches, stored, table
 from halyard.llm.components import Forest, components
 
 #: Longest inverted list whose pairs are counted; keys of one index task; classes of one tile.
@@ -271,6 +271,7 @@ def linked_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
             keys = [s[: indexed(len(s), percent)].tobytes() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, found), pa.int64()), pa.array((class_of(s) if len(s) else None for s in found), pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "th", "n", "c", "keys"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     rows = stored(rows.mapInArrow(sets, f"{_CLASS}, keys binary"))
     members = rows.select("doc_id", "th", "n", "c")

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import stored, table
+from halyard.llm.common import small_batches, stored, table
 
 #: Words kept in a worker's memory of token ids; beyond them it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 500_000
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OPEN = f"{PIECE}, part long, ids binary"
@@ -203,6 +203,7 @@ def pack_documents(docs: DataFrame, size: int = 2048, open_windows: int = 16, le
 
         return merge
 
+    small_batches(docs.sparkSession)
     rounds = [stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first, _OPEN))]
     parts = (rounds[0].agg(F.max("part")).first()[0] or 0) + 1  # one number
     while True:
