@@ -1,10 +1,12 @@
 """Line deduplication by a fixed-depth tree of line templates.
 
 A line is parsed as a log message: digits are folded, and its number of tokens and its leading tokens
-lead to a leaf of a tree of fixed depth. In a leaf, a token that stands at the same place in lines of
-several documents is part of a template; the others are variable fields. Lines with the same fixed
-tokens, if those are most of their tokens, share a template. Templates that recur across documents are
-dropped, except in the document with the smallest id, so that what they say remains once.
+lead to a leaf of a tree of fixed depth. In a leaf, a token's support is the number of documents that
+have it at its place. The tokens of a line with at least a given support are a template, if they are
+most of its tokens; the others are variable fields. Each support that a line's tokens have is tried, so
+the values of a field stay variable however often they recur, as long as the words around them recur
+more often. Templates that recur across documents are dropped, except in the document with the smallest
+id, so that what they say remains once.
 
 All steps are aggregates and joins on hashes: equal lines are counted before they are compared, no leaf
 is gathered in one task, and skewed join partitions (a line that a third of all documents has) are
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import WORD, stored, table
 
-#: Leading tokens below the token count; documents that make a token fixed and a template recur; least tokens
+#: Leading tokens below the token count; documents that a fixed token has at least, and that make a template recur; least tokens
 #: of a line; least share of fixed tokens.
 LEADING, MIN_DOCS, MIN_TOKENS, FIXED = 3, 3, 3, 0.6
 #: Leaves up to this many are broadcast to the lines; more are joined by a shuffle.
@@ -33,19 +35,26 @@ def _lines(docs: DataFrame) -> DataFrame:
     return df.withColumns({"leaf": F.xxhash64("n", F.substring_index(F.ltrim("line"), " ", LEADING)), "lh": F.xxhash64("line")})
 
 
+def _templates(places: Column, least: Column) -> Column:
+    """A line's templates, one for each support of its tokens: those of that support or more, if they are ``least`` at least."""
+    sets = F.transform(F.array_distinct(places["support"]), lambda s: F.filter(places, lambda p: p["support"] >= s))
+    return F.transform(F.filter(sets, lambda x: F.size(x) >= least), lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, p: a.bitwiseXOR(p["place"])))
+
+
 def _recurring(lines: DataFrame, tokens: DataFrame, min_docs: int, fixed: float) -> DataFrame:
     """(leaf, lh, first_doc) of the lines whose template recurs in at least ``min_docs`` documents."""
     known = lines.groupBy("leaf", "lh").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
     known = stored(known.join(tokens, ["leaf", "lh"]))
     each = known.select("leaf", "lh", "docs", F.posexplode("tokens").alias("at", "token"))
-    support = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).drop("support")
-    place = F.xxhash64("at", "token")
-    template = each.join(support, ["leaf", "at", "token"]).groupBy("leaf", "lh").agg(F.count("*").alias("constant"), F.bit_xor(place).alias("template"))
-    found = known.select("leaf", "lh", "docs", "first_doc", F.size("tokens").alias("n")).join(template, ["leaf", "lh"])
-    found = stored(found.where(F.col("constant") >= fixed * F.col("n")).select("leaf", "lh", "docs", "first_doc", "template"))
+    support = each.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
+    places = F.collect_list(F.struct("support", F.xxhash64("at", "token").alias("place"))).alias("places")
+    found = each.join(support, ["leaf", "at", "token"]).groupBy("leaf", "lh").agg(places)
+    found = known.select("leaf", "lh", "docs", "first_doc", F.size("tokens").alias("n")).join(found, ["leaf", "lh"])
+    found = found.where(F.size("places") >= fixed * F.col("n")).withColumn("template", F.explode(_templates(F.col("places"), fixed * F.col("n"))))
+    found = stored(found.select("leaf", "lh", "docs", "first_doc", "template"))
     total = found.groupBy("leaf", "template").agg(F.sum("docs").alias("all_docs"), F.min("first_doc").alias("first"))
     total = total.where(F.col("all_docs") >= min_docs)
-    return found.join(total, ["leaf", "template"]).select("leaf", "lh", F.col("first").alias("first_doc"))
+    return found.join(total, ["leaf", "template"]).groupBy("leaf", "lh").agg(F.min("first").alias("first_doc"))
 
 
 def _cleaned(text: Column, dropped: Column) -> Column:

@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from halyard.llm.line_templates import drop_templates
 
 from .conftest import words
@@ -38,3 +42,12 @@ def test_awkward_documents(awkward, empty):
     assert sum(r["text"] is None for r in got) == 2
     assert sorted(r["text"] or "-" for r in got if r["dropped"] is None) <= texts
     assert drop_templates(empty).count() == 0
+
+
+@pytest.mark.parametrize("size", [100, 1000, 4000])
+def test_a_template_goes_however_often_its_fields_repeat(make, size):
+    rng = random.Random(size)
+    line = lambda: f"This article was written by {words(1, rng.randrange(208))[0]}n{rng.choice('abcdefgh')} from the desk in {words(1, rng.randrange(208))[0]}c{rng.choice('abcdefgh')} for all readers of m{rng.choice('abcdefghijkl')} edition"
+    got = drop_templates(make([(i, f"{lines(1, i)[0]}\n{line()}", "a") for i in range(size)]))
+    assert got.where("array_contains(dropped, 1)").count() == size - 1
+    assert got.where("doc_id = 0 and not coalesce(array_contains(dropped, 1), false)").count() == 1
