@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import crc_of_id, stored, table
@@ -328,6 +328,12 @@ def _scorer(run: str, make) -> _Scorer:
     return _kept[run]
 
 
+def _log10_of_1_plus(x: Column) -> Column:
+    """log10(1 + 10 ** x), also where the power is beyond a double; null x, of a share of 0, gives 0."""
+    more = F.log1p(F.pow(F.lit(10.0), -F.abs(x))) / math.log(10)
+    return F.coalesce(F.greatest(x, F.lit(0.0)) + more, F.lit(0.0))
+
+
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = SHARE, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
@@ -383,7 +389,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
     rare = scored.where("size(keys) > 0").select("row", F.explode(F.arrays_zip("keys", "times", "spelt")).alias("x")).select("row", F.col("x.keys").alias("key"), "x.times", "x.spelt")
     met = rare.join(words.where(F.col("n") < least).select("key", "n"), "key")
     # by how much the whole-word edge lifts what the score already holds of the word
-    lift = F.log10(1 + F.lit(seen / (max(n, 1) * (1 - seen))) * F.col("n") * F.pow(F.lit(10.0), -F.col("spelt").cast("double")))
+    lift = _log10_of_1_plus(F.log10(F.lit(seen / (max(n, 1) * (1 - seen))) * F.col("n")) - F.col("spelt").cast("double"))
     rest = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum(F.col("times") * lift).alias("lift"))
     df = scored.drop("keys", "times", "spelt").join(rest, "row", "left")
     end_known = 1 if ends else 0

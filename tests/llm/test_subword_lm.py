@@ -74,3 +74,10 @@ def test_awkward_documents(awkward, empty):
     assert sorted(r["n_tokens"] for r in got) == sorted(len((r["text"] or "").encode().split()) + 1 for r in awkward.collect())
     assert all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
     assert score_documents(empty).count() == 0
+
+
+def test_a_long_word_scores_the_same_by_the_join(make):
+    rows = [(i, " ".join(words(20, i)) + (" " + "日本語テスト" * 40 + "qzxj" * 100 if i % 3 == 0 else ""), "a") for i in range(40)]
+    direct, joined = ({r["doc_id"]: r["score"] for r in score_documents(make(rows), share=share).collect()} for share in (1e-6, 1.0))
+    assert all(math.isfinite(x) for x in joined.values())
+    assert all(abs(direct[i] - joined[i]) < 0.01 for i in direct)
