@@ -28,11 +28,16 @@ BROADCAST_LEAVES = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, line, n, leaf, lh) for each line with enough tokens; ``th`` tells texts of an id apart."""
+    """(doc_id, th, pos, line, n, leaf, lh) for each line with tokens; ``th`` tells texts of an id apart.
+
+    A line of under MIN_TOKENS tokens is known by them all, and by the line itself otherwise.
+    """
     folded = F.split(F.regexp_replace("text", "[0-9]+", "0"), "\n")
     df = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(folded).alias("pos", "line"))
-    df = df.withColumn("n", F.regexp_count("line", F.lit(WORD))).where(F.col("n") >= MIN_TOKENS)
-    return df.withColumns({"leaf": F.xxhash64("n", F.substring_index(F.ltrim("line"), " ", LEADING)), "lh": F.xxhash64("line")})
+    df = df.withColumn("n", F.regexp_count("line", F.lit(WORD))).where("n > 0")
+    tokens = F.xxhash64(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)))
+    lh = F.when(F.col("n") < MIN_TOKENS, tokens).otherwise(F.xxhash64("line"))
+    return df.withColumns({"leaf": F.xxhash64("n", F.substring_index(F.ltrim("line"), " ", LEADING)), "lh": lh})
 
 
 def _templates(places: Column, least: Column) -> Column:
@@ -57,6 +62,12 @@ def _recurring(lines: DataFrame, tokens: DataFrame, min_docs: int, fixed: float)
     return found.join(total, ["leaf", "template"]).groupBy("leaf", "lh").agg(F.min("first").alias("first_doc"))
 
 
+def _repeated(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(lh, first_doc) of the equal lines that at least ``min_docs`` documents have."""
+    known = lines.groupBy("lh").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return known.where(F.col("docs") >= min_docs).select("lh", "first_doc")
+
+
 def _cleaned(text: Column, dropped: Column) -> Column:
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(dropped, i))
     return F.when(dropped.isNull(), text).otherwise(F.array_join(left, "\n"))
@@ -65,21 +76,25 @@ def _cleaned(text: Column, dropped: Column) -> Column:
 def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED) -> DataFrame:
     """``docs`` with ``text`` cleaned, and ``n_lines`` and ``dropped`` (line numbers from 0, or null) added.
 
-    Null texts stay null; a line of under MIN_TOKENS tokens is never dropped; among rows with null ids only
+    A line of under MIN_TOKENS tokens is a template as a whole. Null texts stay null; among rows with null ids only
     those with an id count as first; repeated rows have the same lines dropped, or both none. An empty
     table gives no rows. Other columns are carried along.
     """
     lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    kept = stored(lines.select("doc_id", "th", "pos", "leaf", "lh"))
-    once = kept.select("doc_id", "leaf", "lh").distinct()
+    # lines of few tokens have no leaf
+    leaf = F.when(F.col("n") >= MIN_TOKENS, F.col("leaf")).alias("leaf")
+    kept = stored(lines.select("doc_id", "th", "pos", leaf, "lh"))
+    once = kept.where("leaf is not null").select("doc_id", "leaf", "lh").distinct()
+    short = kept.where("leaf is null").select("doc_id", "lh").distinct()
     leaves = stored(once.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
     if leaves.count() <= BROADCAST_LEAVES:
         leaves = F.broadcast(leaves)
-    lines = lines.select("leaf", "lh", "line").join(leaves, "leaf", "left_semi")
+    lines = lines.where(F.col("n") >= MIN_TOKENS).select("leaf", "lh", "line").join(leaves, "leaf", "left_semi")
     tokens = lines.groupBy("leaf", "lh").agg(F.min("line").alias("line"))
     tokens = tokens.select("leaf", "lh", F.transform(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), lambda w: F.hash(w)).alias("tokens"))
     bad = stored(_recurring(once.join(leaves, "leaf", "left_semi"), tokens, min_docs, fixed))
-    hit = kept.join(bad, ["leaf", "lh"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    bad = bad.select("lh", "first_doc").union(_repeated(short, min_docs))
+    hit = kept.join(bad, "lh").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     hit = hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th"), F.col("dropped").alias("_hit"))
     df = docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_th")), "left")

@@ -51,3 +51,10 @@ def test_a_template_goes_however_often_its_fields_repeat(make, size):
     got = drop_templates(make([(i, f"{lines(1, i)[0]}\n{line()}", "a") for i in range(size)]))
     assert got.where("array_contains(dropped, 1)").count() == size - 1
     assert got.where("doc_id = 0 and not coalesce(array_contains(dropped, 1), false)").count() == 1
+
+
+def test_short_lines_that_recur_go(make):
+    rows = [(i, "\n".join(["Read more", lines(1, i)[0], f"Own{'abcdef'[i]}", " Of."]), "a") for i in range(6)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in drop_templates(make(rows)).collect()}
+    assert got[0] == rows[0][1].split("\n")
+    assert all(got[i] == rows[i][1].split("\n")[1:3] for i in range(1, 6))

@@ -31,6 +31,14 @@ def test_stages_keep_the_columns_and_the_clean_documents(spark, awkward, make):
     assert seen[3] <= ids and seen[4] == seen[3]
 
 
+def test_nothing_remains_of_a_group_of_copies_with_a_short_line(spark, make):
+    text = "\n".join([" ".join(words(60, 1)) + ".", "Eauouon.", " ".join(words(30, 2)) + "."])
+    docs = make([(i, text, "a") for i in range(4)] + [(9, " ".join(words(80, 3)), "a")])
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_copies):
+        docs = stored(stage(spark, docs, ""))
+    assert {(r["doc_id"], r["text"]) for r in docs.collect()} == {(0, text), (9, " ".join(words(80, 3)))}
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_awkward_documents(spark, awkward, empty, name, stage):
     """Nulls, clashing columns and empty tables; other columns come through as they were."""
