@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import stored
-from halyard.llm.line_templates import drop_templates
+from halyard.llm.line_templates import drop_passages, drop_templates
 from halyard.llm.mixing import mix_texts
 from halyard.llm.ngram_join import keep_one_of_each
 from halyard.llm.packing import pack_documents
@@ -23,17 +23,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judge(_packed(docs, "text"), ["_row"]).where("kept").select("_row.*")
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; those of nothing else go, since the lines stay in the first."""
-    df = drop_templates(_packed(docs, "doc_id", "text")).where("dropped is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+def _cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The packed rows with their texts as cleaned; those of nothing else go, since the lines stay in the first."""
+    df = df.where("dropped is null or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     n = F.when(F.col("dropped").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("text").cast("long"))
     new = {"text": F.col("text"), "n_chars": n.alias("n_chars")}
-    return df.select(*(new.get(c, F.col(f"_row.`{c}`")) for c in docs.columns))
+    return df.select(*(new.get(c, F.col(f"_row.`{c}`")) for c in columns))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines; passages of two documents stay, as near copies are known by them."""
+    return _cleaned(drop_templates(_packed(docs, "doc_id", "text"), passages=False), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles link at 0.8 or more."""
-    return keep_one_of_each(docs, n=5, percent=80)
+    """One document of each group whose five-word shingles link at 0.8 or more, each passage in one of these only."""
+    left = stored(keep_one_of_each(docs, n=5, percent=80))
+    return _cleaned(drop_passages(_packed(left, "doc_id", "text")), docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

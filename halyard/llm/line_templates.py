@@ -23,6 +23,8 @@ from halyard.llm.common import WORD, stored, table
 #: Leading tokens below the token count; documents that a fixed token has at least, and that make a template recur; least tokens
 #: of a line; least share of fixed tokens.
 LEADING, MIN_DOCS, MIN_TOKENS, FIXED = 3, 3, 3, 0.6
+#: An equal line of at least so many tokens is a passage, which two documents are enough for.
+PASSAGE = 50
 #: Leaves up to this many are broadcast to the lines; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
@@ -73,9 +75,22 @@ def _cleaned(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED) -> DataFrame:
+def _without(docs: DataFrame, kept: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the lines of ``kept`` that are ``bad``, except in the first document of each."""
+    bad = bad.groupBy("lh").agg(F.min("first_doc").alias("first_doc"))
+    hit = kept.join(bad, "lh").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    hit = hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th"), F.col("dropped").alias("_hit"))
+    df = docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_th")), "left")
+    own = [c for c in docs.columns if c not in ("text", "n_lines", "dropped")]
+    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    return df.select(*own, n.alias("n_lines"), F.col("_hit").alias("dropped"), _cleaned(F.col("text"), F.col("_hit")).alias("text"))
+
+
+def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED, passages: bool = True) -> DataFrame:
     """``docs`` with ``text`` cleaned, and ``n_lines`` and ``dropped`` (line numbers from 0, or null) added.
 
+    Equal lines of PASSAGE tokens or more are dropped from two documents on, unless ``passages`` is false.
     A line of under MIN_TOKENS tokens is a template as a whole. Null texts stay null; among rows with null ids only
     those with an id count as first; repeated rows have the same lines dropped, or both none. An empty
     table gives no rows. Other columns are carried along.
@@ -83,7 +98,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
     lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     # lines of few tokens have no leaf
     leaf = F.when(F.col("n") >= MIN_TOKENS, F.col("leaf")).alias("leaf")
-    kept = stored(lines.select("doc_id", "th", "pos", leaf, "lh"))
+    kept = stored(lines.select("doc_id", "th", "pos", leaf, "lh", (F.col("n") >= PASSAGE).alias("passage")))
     once = kept.where("leaf is not null").select("doc_id", "leaf", "lh").distinct()
     short = kept.where("leaf is null").select("doc_id", "lh").distinct()
     leaves = stored(once.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
@@ -94,13 +109,16 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
     tokens = tokens.select("leaf", "lh", F.transform(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), lambda w: F.hash(w)).alias("tokens"))
     bad = stored(_recurring(once.join(leaves, "leaf", "left_semi"), tokens, min_docs, fixed))
     bad = bad.select("lh", "first_doc").union(_repeated(short, min_docs))
-    hit = kept.join(bad, "lh").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    hit = hit.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th"), F.col("dropped").alias("_hit"))
-    df = docs.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("text") == F.col("_hit_th")), "left")
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "dropped")]
-    n = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    return df.select(*own, n.alias("n_lines"), F.col("_hit").alias("dropped"), _cleaned(F.col("text"), F.col("_hit")).alias("text"))
+    if passages:
+        bad = bad.union(_repeated(kept.where("passage").select("doc_id", "lh").distinct(), 2))
+    return _without(docs, kept, bad)
+
+
+def drop_passages(docs: DataFrame) -> DataFrame:
+    """Like :func:`drop_templates`, for nothing but equal lines of at least PASSAGE tokens, in two documents or more."""
+    lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where(F.col("n") >= PASSAGE)
+    kept = stored(lines.select("doc_id", "th", "pos", "lh"))
+    return _without(docs, kept, _repeated(kept.select("doc_id", "lh").distinct(), 2))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

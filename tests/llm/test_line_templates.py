@@ -58,3 +58,11 @@ def test_short_lines_that_recur_go(make):
     got = {r["doc_id"]: r["text"].split("\n") for r in drop_templates(make(rows)).collect()}
     assert got[0] == rows[0][1].split("\n")
     assert all(got[i] == rows[i][1].split("\n")[1:3] for i in range(1, 6))
+
+
+def test_a_passage_of_two_documents_goes(make):
+    passage = " ".join(words(60, "passage"))
+    rows = [(i, "\n".join([lines(1, i)[0], passage, f"Own{'ab'[i]} end"]), "a") for i in range(2)]
+    got = {r["doc_id"]: r for r in drop_templates(make(rows)).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["dropped"] is None
+    assert got[1]["dropped"] == [1]

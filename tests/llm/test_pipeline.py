@@ -39,6 +39,16 @@ def test_nothing_remains_of_a_group_of_copies_with_a_short_line(spark, make):
     assert {(r["doc_id"], r["text"]) for r in docs.collect()} == {(0, text), (9, " ".join(words(80, 3)))}
 
 
+def test_passages_go_and_leave_nothing_of_near_copies(spark, make):
+    passage, own = " ".join(words(60, 1)), [" ".join(words(40, k)) for k in (2, 3)]
+    near = "\n".join([" ".join(words(300, 4)), "A short line of it.", " ".join(words(70, 5))])
+    docs = make([(0, f"{passage}\n{own[0]}", "a"), (1, f"{own[1]}\n{passage}", "a"), (2, near, "a"), (3, near + " more", "a")])
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_copies):
+        docs = stored(stage(spark, docs, ""))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()}
+    assert got == {i: (t, len(t)) for i, t in ((0, f"{passage}\n{own[0]}"), (1, own[1]), (2, near))}
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_awkward_documents(spark, awkward, empty, name, stage):
     """Nulls, clashing columns and empty tables; other columns come through as they were."""
