@@ -6,6 +6,9 @@ that short and long texts alike have sets with few of their terms. Each set of a
 hashes are the fingerprint. Texts agree in a set's hash if they share all terms that they have in it,
 so the share of agreeing sets, at the rate where it is highest, tells how alike two texts are.
 
+A text without terms of the lexicon has the sets of all its terms for a fingerprint, and is compared by
+all terms.
+
 The hash of a set is the exclusive or of its distinct terms' hashes: the same for every order, it
 stands for hashing the sorted terms.
 """
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import stored, table
 
-#: Shares of all documents that have a term of the lexicon: at least, at most.
+#: Shares of all distinct texts that have a term of the lexicon: at least, at most.
 LEAST, MOST = 0.001, 0.1
 #: Each level samples a quarter of the terms of the one before, and divides them into SETS sets.
 LEVELS, SETS = 4, 12
@@ -27,15 +30,16 @@ MOST_BUCKETS = 8192
 
 
 def terms(text: Column) -> Column:
-    """The distinct hashes of a text's words: runs of letters and digits, in lower case."""
+    """The distinct hashes of a text's words: runs of letters and digits, in lower case; of a text without words, its own."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = F.when((F.size(words) == 0) & (text != ""), F.array(text)).otherwise(words)
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """(term): hashes of the terms that a share of ``docs`` between ``least`` and ``most`` has."""
-    n = docs.count()
-    found = docs.select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term): hashes of the terms that a share of the distinct texts of ``docs`` between ``least`` and ``most`` has."""
+    n = docs.select(F.xxhash64("t")).distinct().count()
+    found = docs.select("t").distinct().select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return stored(found.where((F.col("df") >= least * n) & (F.col("df") <= max(most * n, 1))).select("term"))
 
 
@@ -95,6 +99,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(F.coalesce(F.greatest(*shares), F.lit(0.0)))
 
 
+def _known(sets: Column) -> Column:
+    return F.exists(sets, lambda x: x.isNotNull())
+
+
+def nearness(a: Column, b: Column, all_a: Column, all_b: Column) -> Column:
+    """The likeness of two texts by their terms of the lexicon, or by all terms if either has none of the lexicon."""
+    return F.when(_known(a) & _known(b), likeness(a, b)).otherwise(likeness(all_a, all_b))
+
+
 def text_of(sets: Column) -> Column:
     return F.array_join(F.transform(sets, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit(""))), ".")
 
@@ -115,16 +128,23 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     rows = rows.select(*kept, F.explode(F.filter(texts, lambda x: x["t"].isNotNull())).alias("x")).select(*kept, "x.which", F.explode_outer(terms(F.col("x.t"))).alias("term"))
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
-    rows = rows.join(words.withColumn("known", F.lit(True)), "term", "left").withColumn("term", F.when(F.col("known"), F.col("term")))
+    rows = rows.join(words.withColumn("known", F.lit(True)), "term", "left")
+    # each term counts in the sets of all terms, and in those of the lexicon if it is there
+    rows = rows.withColumn("which", F.explode(F.when(F.col("known"), F.array("which", F.col("which") + 2)).otherwise(F.array(F.col("which") + 2))))
     first = [F.first(c).alias(c) for c in kept[2:]]
     sets = rows.groupBy(*kept, "which").agg(*_sets())
     sets = sets.select("bucket", "rn", "which", *kept[2:], F.array(*(f"s{k}" for k in range(LEVELS * SETS))).alias("sets"))
     of = lambda which: F.max(F.when(F.col("which") == which, F.col("sets"))).alias(f"sets{which}")
-    sets = sets.groupBy("bucket", "rn").agg(*first, of(0), of(1))
-    sets = sets.withColumn("next", F.lead("sets0").over(Window.partitionBy("bucket").orderBy("rn"))).where("own")
+    sets = sets.groupBy("bucket", "rn").agg(*first, of(0), of(1), of(2), of(3))
+    none = F.array_repeat(F.lit(None).cast("long"), LEVELS * SETS)
+    sets = sets.withColumns({f"sets{k}": F.coalesce(f"sets{k}", none) for k in range(4)})
+    order = Window.partitionBy("bucket").orderBy("rn")
+    sets = sets.withColumns({"next": F.lead("sets0").over(order), "all_next": F.lead("sets2").over(order)}).where("own")
+    own = lambda k: F.when(_known(F.col(f"sets{k}")), F.col(f"sets{k}")).otherwise(F.col(f"sets{k + 2}"))
     return sets.select(
-        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text_of(F.col("sets0")).alias("fingerprint"), text_of(F.col("sets1")).alias("edited_fingerprint"),
-        likeness(F.col("sets0"), F.col("sets1")).alias("near_edited"), likeness(F.col("sets0"), F.col("next")).alias("near_next"),
+        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text_of(own(0)).alias("fingerprint"), text_of(own(1)).alias("edited_fingerprint"),
+        nearness(*(F.col(f"sets{k}") for k in (0, 1, 2, 3))).alias("near_edited"),
+        nearness(F.col("sets0"), F.col("next"), F.col("sets2"), F.col("all_next")).alias("near_next"),
     )
 
 

@@ -45,3 +45,15 @@ def test_awkward_documents(awkward, empty):
 def test_one_document_is_its_own_next(make):
     r = fingerprint(make([(1, "alpha beta gamma delta", "a")])).first()
     assert r["near_next"] == 1.0 and r["edited_sha256"] == hashlib.sha256(b"alpha beta galpha beta g"[:11] + b"alpha beta ").hexdigest()
+
+
+def test_texts_without_terms_of_the_lexicon_differ(make):
+    hot = " ".join(f"hot{k}" for k in range(40))
+    rows = [(i, f"{hot} near{'a' if i % 2 else 'b'}", "a") for i in range(40)] + [(40 + i, " ".join(f"w{i}x{k}" for k in range(40)), "a") for i in range(40)]
+    rows += [(80, "!!!", "a"), (81, "???", "a"), (82, "", "a"), (83, None, "a")]
+    got = {r["doc_id"]: r for r in fingerprint(make(rows)).collect()}
+    blank = got[82]["fingerprint"]
+    assert got[83]["fingerprint"] == blank and got[83]["near_next"] == 1.0
+    assert len({got[i]["fingerprint"] for i in (0, 1, 40, 80, 81, 82)}) == 6
+    assert got[81]["near_next"] < 1.0 and got[40]["near_next"] < 0.5
+    assert got[10]["near_edited"] > 0 and got[10]["near_next"] > 0.5 and got[40]["near_edited"] > 0
