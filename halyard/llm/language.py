@@ -1,9 +1,14 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word in both directions and gives every position a distribution over
-languages; a document's is the geometric mean of its positions', so whole texts count. States start
-anew at each word, so a word's positions are labelled once for all its uses. Training is
-backpropagation through time in numpy, on the driver, on a bounded sample of labelled documents.
+The network reads the bytes of a text in both directions and gives every position a distribution over
+languages; a document's is the geometric mean of its positions', so whole texts count. Long texts are
+read in windows that overlap: a position's states have read at least CONTEXT bytes on either side, or up
+to the end of the text, wherever words or windows end, so texts of any length take bounded memory and
+many windows are read at once. Texts are taken as if between spaces, and with A-Z lower-cased.
+
+Gates and candidates use x / (1 + |x|) in place of the sigmoid and the hyperbolic tangent, and the reset
+gate acts on the recurrent product, so a step is one product of matrices and plain arithmetic. Training
+is backpropagation through time in numpy, on the driver, on windows of a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -12,22 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from halyard.llm.common import crc_of_id, table
+from halyard.llm.common import crc_of_id, small_batches, stored, table
 
-#: Training sample: documents of a language, characters of a document, languages.
-DOCS, CHARS, LANGUAGES = 300, 4000, 200
-HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 700, 512, 0.01
-#: Bytes of a word read at once; longer words are read in parts.
-PART = 24
-MEMORY = 400_000
+#: Training sample: rows of a language, rows of all languages (one of each language at least), windows of a row, their bytes.
+DOCS, SAMPLE, PIECES, PIECE = 300, 20_000, 8, 64
+HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 200, 160, 0.02
+#: Positions that a window labels at most, bytes read beside them on either side, and the steps that window sizes are rounded to.
+WINDOW, CONTEXT, GRAIN = 448, 32, 32
+#: Windows read at once, for few languages; bytes of texts gathered before they are read.
+AT_ONCE, GATHERED = 2048, 8 << 20
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _soft(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
 
 
 class ByteGru:
@@ -41,90 +46,125 @@ class ByteGru:
         for d in "fb":
             self.p |= {f"w{d}": small(embed, 3 * hidden), f"u{d}": small(hidden, 3 * hidden), f"b{d}": np.zeros(3 * hidden, np.float32)}
 
-    def _run(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """States after each position of the bytes ``x`` (n, length), read in direction ``d``."""
-        n, length = x.shape
-        h, k = np.zeros((n, self.h), np.float32), self.h
+    def _steps(self, x: np.ndarray, d: str) -> Iterator[tuple]:
+        """(t, state before, gate inputs, gates, candidate input, candidate, recurrent part, state) along the positions ``x`` (length, n)."""
+        length, n = x.shape
+        k, u = self.h, self.p[f"u{d}"]
         table = self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"]  # the input's part, for each byte
-        u, out = self.p[f"u{d}"], np.empty((length, n, self.h), np.float32)
+        h = np.zeros((n, k), table.dtype)
         for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            i = table[x[:, t]]
-            zr = _sigmoid(i[:, : 2 * k] + h @ u[:, : 2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(i[:, 2 * k :] + (r * h) @ u[:, 2 * k :])
-            if keep is not None:
-                keep.append((t, h, z, r, c))
-            h = out[t] = z * h + (1 - z) * c
-        return out
+            i, v = table[x[t]], h @ u
+            a = i[:, : 2 * k] + v[:, : 2 * k]
+            g = 0.5 + 0.5 * _soft(a)
+            b = i[:, 2 * k :] + g[:, k:] * v[:, 2 * k :]
+            c = _soft(b)
+            after = c + g[:, :k] * (h - c)
+            yield t, h, a, g, b, c, v[:, 2 * k :], after
+            h = after
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
-        """(length, n, languages): the log distribution at each position."""
-        s = np.concatenate([self._run(x, "f", None), self._run(x, "b", None)], 2) @ self.p["o"] + self.p["ob"]
+        """(length, n, languages): the log distribution at each position of the windows ``x`` (n, length)."""
+        x = np.ascontiguousarray(x.T)
+        both = np.concatenate([np.stack([s[-1] for s in sorted(self._steps(x, d), key=lambda s: s[0])]) for d in "fb"], 2)
+        s = both @ self.p["o"] + self.p["ob"]
         s -= s.max(2, keepdims=True)
         return s - np.log(np.exp(s).sum(2, keepdims=True))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy of all positions, by backpropagation through time."""
-        keep: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, d, keep[d]) for d in "fb"], 2)
+        """Of the mean cross entropy of all positions of the windows ``x`` (n, length), by backpropagation through time."""
+        x = np.ascontiguousarray(x.T)
+        kept = {d: list(self._steps(x, d)) for d in "fb"}
+        both = np.concatenate([np.stack([s[-1] for s in sorted(kept[d], key=lambda s: s[0])]) for d in "fb"], 2)
         s = both @ self.p["o"] + self.p["ob"]
         s = np.exp(s - s.max(2, keepdims=True))
         s /= s.sum(2, keepdims=True)
         s[:, np.arange(len(y)), y] -= 1
         s /= s.shape[0] * s.shape[1]
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["o"], g["ob"] = np.einsum("tnh,tnk->hk", both, s), s.sum((0, 1))
+        g["o"], g["ob"] = np.tensordot(both, s, ((0, 1), (0, 1))), s.sum((0, 1))
         back, k = s @ self.p["o"].T, self.h
         for j, d in enumerate("fb"):
-            u, dh = self.p[f"u{d}"], np.zeros((len(y), k), np.float32)
-            for t, h, z, r, c in reversed(keep[d]):
+            u, dh = self.p[f"u{d}"], np.zeros((len(y), k), s.dtype)
+            inputs, read = [], []
+            for t, h, a, gates, b, c, v, _ in reversed(kept[d]):
                 dh = dh + back[t][:, j * k : (j + 1) * k]
-                dc = dh * (1 - z) * (1 - c * c)
-                drh = dc @ u[:, 2 * k :].T
-                dz, dr = dh * (h - c) * z * (1 - z), drh * h * r * (1 - r)
-                gates = np.concatenate([dz, dr, dc], 1)
-                g[f"u{d}"][:, : 2 * k] += h.T @ gates[:, : 2 * k]
-                g[f"u{d}"][:, 2 * k :] += (r * h).T @ dc
-                g[f"b{d}"] += gates.sum(0)
-                e = self.p["e"][x[:, t]]
-                g[f"w{d}"] += e.T @ gates
-                np.add.at(g["e"], x[:, t], gates @ self.p[f"w{d}"].T)
-                dh = dh * z + drh * r + gates[:, : 2 * k] @ u[:, : 2 * k].T
+                z, r = gates[:, :k], gates[:, k:]
+                db = dh * (1 - z) / (1 + np.abs(b)) ** 2
+                da = np.concatenate([dh * (h - c), db * v], 1) * 0.5 / (1 + np.abs(a)) ** 2
+                du = np.concatenate([da, db * r], 1)
+                g[f"u{d}"] += h.T @ du
+                inputs.append(np.concatenate([da, db], 1))
+                read.append(x[t])
+                dh = dh * z + du @ u.T
+            every = np.concatenate(read)
+            order = np.argsort(every, kind="stable")
+            first = np.flatnonzero(np.diff(every[order], prepend=-1))
+            by_byte = np.zeros((256, 3 * k), s.dtype)  # of the table of inputs
+            by_byte[every[order][first]] = np.add.reduceat(np.concatenate(inputs)[order], first)
+            g[f"b{d}"] += by_byte.sum(0)
+            g[f"w{d}"] += self.p["e"].T @ by_byte
+            g["e"] += by_byte @ self.p[f"w{d}"].T
         return g
 
-
-def parts(word: bytes) -> list[bytes]:
-    word = b" " + word
-    return [word[i : i + PART] for i in range(0, len(word), PART)]
-
-
-def by_length(items: list[bytes]) -> dict[int, list[int]]:
-    found: dict[int, list[int]] = {}
-    for i, x in enumerate(items):
-        found.setdefault(len(x), []).append(i)
-    return found
-
-
-def _bytes(items: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(items), np.uint8).reshape(len(items), -1)
-
-
-def train(texts: list[tuple[str, int]], languages: int, steps: int = STEPS, seed: int = 5) -> ByteGru:
-    """A network trained on (text, language number); each language weighs the same."""
+    def pooled(self, x: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+        """Sums of log distributions over the positions CONTEXT, ..., CONTEXT + labelled - 1 of each window of ``x`` (n, length)."""
+        x = np.ascontiguousarray(x.T, np.intp)
+        length, n = x.shape
+        k, o = self.h, self.p["o"]
+        logits = np.empty((length - 2 * CONTEXT, n, o.shape[1]), np.float32)
+        i, v, a, c = (np.empty((n, m * k), np.float32) for m in (3, 3, 2, 1))
+        total = np.zeros((n, o.shape[1]))
+        for j, d in enumerate("fb"):
+            table, u, own = self.p["e"] @ self.p[f"w{d}"] + self.p[f"b{d}"], self.p[f"u{d}"], o[j * k : (j + 1) * k]
+            h = np.zeros((n, k), np.float32)
+            # behind the labelled positions there is nothing left to label
+            for t in range(length - CONTEXT) if d == "f" else range(length - 1, CONTEXT - 1, -1):
+                np.take(table, x[t], axis=0, out=i, mode="clip")
+                np.matmul(h, u, out=v)
+                np.add(i[:, : 2 * k], v[:, : 2 * k], out=a)
+                g = np.abs(a)
+                g += 1
+                np.divide(a, g, out=a)
+                a *= 0.5
+                a += 0.5
+                np.multiply(a[:, k:], v[:, 2 * k :], out=c)
+                c += i[:, 2 * k :]
+                c /= 1 + np.abs(c)
+                h -= c
+                h *= a[:, :k]
+                h += c
+                at = t - CONTEXT
+                if not 0 <= at < len(logits):
+                    continue
+                if d == "f":
+                    np.matmul(h, own, out=logits[at])
+                    continue
+                s = logits[at] + h @ own + self.p["ob"]
+                s -= s.max(1, keepdims=True)
+                s -= np.log(np.exp(s).sum(1, keepdims=True))
+                total += s * (at < labelled)[:, None]
+        return total
+
+
+def pieces(text: bytes, key: int) -> list[bytes]:
+    """PIECES stretches of PIECE bytes of a text at places that ``key`` decides, all of a short one."""
+    text = text.ljust(PIECE)
+    rng, last = np.random.default_rng(key & ((1 << 63) - 1)), len(text) - PIECE
+    starts = sorted(set(rng.integers(0, last + 1, PIECES).tolist())) if last else [0]
+    return [text[s : s + PIECE] for s in starts]
+
+
+def train(windows: list[tuple[bytes, int]], languages: int, steps: int = STEPS, seed: int = 5) -> ByteGru:
+    """A network trained on (window of PIECE bytes, language number); each language weighs the same."""
     net, rng = ByteGru(languages, seed=seed), np.random.default_rng(seed)
-    pairs = [(p, y) for text, y in texts for w in text.encode().lower().split() for p in parts(w)]
-    groups = {}
-    for n, at in by_length([p for p, _ in pairs]).items():
-        x, y = _bytes([pairs[i][0] for i in at]), np.array([pairs[i][1] for i in at])
-        share = 1 / np.bincount(y, minlength=languages)[y]
-        groups[n] = (x, y, np.cumsum(share) / share.sum(), len(at) * n)
-    if not groups:
+    if not windows:
         return net
-    sizes = np.array([g[3] for g in groups.values()], float)
-    lengths, share = list(groups), sizes / sizes.sum()
+    x = np.frombuffer(b"".join(w for w, _ in windows), np.uint8).reshape(len(windows), PIECE).astype(np.intp)
+    y = np.array([n for _, n in windows])
+    share = 1 / np.bincount(y, minlength=languages)[y]
+    weight = np.cumsum(share) / share.sum()
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, steps + 1):
-        x, y, weight, _ = groups[lengths[rng.choice(len(lengths), p=share)]]
         at = np.minimum(np.searchsorted(weight, rng.random(BATCH)), len(y) - 1)
         for k, g in net.gradients(x[at], y[at]).items():
             a, b = m[k]
@@ -135,72 +175,95 @@ def train(texts: list[tuple[str, int]], languages: int, steps: int = STEPS, seed
     return net
 
 
-class Reader:
-    """Sums of log distributions over a word's positions, remembered for each word."""
-
-    def __init__(self, net: ByteGru, languages: int):
-        self.net, self.memory, self.sums = net, {}, np.zeros((1024, languages + 1))
-
-    def read(self, texts: list[list[bytes]]) -> np.ndarray:
-        """For each text its summed log distribution, and last its number of positions."""
-        new = list({w for t in texts for w in t if w not in self.memory})
-        if len(self.memory) + len(new) > MEMORY and self.memory:
-            self.memory.clear()
-            new = list({w for t in texts for w in t})
-        at = len(self.memory)
-        if at + len(new) > len(self.sums):
-            self.sums = np.concatenate([self.sums[:at], np.zeros((at + 2 * len(new), self.sums.shape[1]))])
-        cut = [(p, at + i) for i, w in enumerate(new) for p in parts(w)]
-        self.sums[at : at + len(new)] = 0
-        for n, own in by_length([p for p, _ in cut]).items():
-            for k in range(0, len(own), 4096):
-                some = own[k : k + 4096]
-                found = self.net.log_probs(_bytes([cut[i][0] for i in some])).sum(0)
-                np.add.at(self.sums, [cut[i][1] for i in some], np.c_[found, np.full(len(some), n)])
-        self.memory.update(zip(new, range(at, at + len(new))))
-        return np.array([self.sums[np.fromiter(map(self.memory.__getitem__, t), np.int64, len(t))].sum(0) for t in texts])
-
-
-def identify(docs: DataFrame, held_out: int = 1, folds: int = 3, per_language: int = DOCS) -> DataFrame:
+def label(net: ByteGru, texts: list[bytes]) -> np.ndarray:
+    """For each text the mean over its positions of the log distribution that the network gives them."""
+    languages = net.p["o"].shape[1]
+    total = np.zeros((len(texts), languages))
+    cut: dict[int, list[tuple[int, int, int]]] = {}  # by positions, rounded up: (text, start, positions)
+    for i, text in enumerate(texts):
+        for s in range(0, len(text), WINDOW):
+            n = min(WINDOW, len(text) - s)
+            cut.setdefault(-(-n // GRAIN) * GRAIN, []).append((i, s, n))
+    most = max(64, AT_ONCE * 8 // (8 + languages))
+    space = b" " * CONTEXT
+    for n, places in cut.items():
+        for k in range(0, len(places), most):
+            some = places[k : k + most]
+            rows = b"".join((space[: max(0, CONTEXT - s)] + texts[i][max(0, s - CONTEXT) : s + n + CONTEXT]).ljust(n + 2 * CONTEXT) for i, s, _ in some)
+            x = np.frombuffer(rows, np.uint8).reshape(len(some), -1)
+            np.add.at(total, [i for i, _, _ in some], net.pooled(x, np.array([v for _, _, v in some])))
+    return total / np.maximum([len(t) for t in texts], 1)[:, None]
+
+
+def _sample(labelled: DataFrame, per_language: int, sample: int) -> list[tuple[str, bytes]]:
+    """(language, window) of at most ``per_language`` rows of each language and ``sample`` rows in all, by lowest hash of id and text.
+
+    Hashes are first cut at a share of their range that leaves a few times the rows wanted, so no task
+    ranks a language. Equal rows count once.
+    """
+    known = labelled.select("lang", "h").distinct()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = stored(counts)
+    per = max(1, min(per_language, sample // max(counts.count(), 1)))
+    low = F.col("h").bitwiseAND(F.lit((1 << 63) - 1)) <= F.least(F.lit(1.0), F.lit(8.0 * per) / F.col("n")) * float(1 << 63)
+    order = Window.partitionBy("lang").orderBy("h")
+    few = known.join(counts, "lang").where(low).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(lang, h, p) for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)) for p in pieces(text.encode("utf-8", "surrogatepass").lower(), h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "piece"])
+
+    # at most ``sample`` rows, or one of each language
+    chosen = labelled.join(F.broadcast(few.select("lang", "h")), ["lang", "h"])
+    found = chosen.select("lang", "h", "text").mapInArrow(cut, "lang string, h long, piece binary").distinct()
+    return [(r["lang"], bytes(r["piece"])) for r in found.orderBy("lang", "h", "piece").collect()]
+
+
+def identify(docs: DataFrame, held_out: int = 1, folds: int = 3, per_language: int = DOCS, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of ``docs``.
 
-    Learns from at most ``per_language`` documents of each language (first by a hash of the id, their
-    first CHARS characters), of those with a language whose crc32 of the id modulo ``folds`` is not
-    ``held_out``; at most LANGUAGES languages. Predictions read the text alone, all of it. Texts that
-    are null or have no letter, and all texts if nothing could be learned, are ``und`` with score 0. Null
-    ids and repeated rows are predicted like others; an empty table gives no rows.
+    Learns from at most ``per_language`` rows of each language, those of the lowest hashes of id and text, and
+    from at most ``sample`` rows in all, but one of each language at least; of those with text and language
+    whose crc32 of the id modulo ``folds`` is not ``held_out``. From each, PIECES stretches of PIECE bytes at
+    random places of the whole text are learned. Predictions read the text alone, all of it; of
+    languages that are equally likely the first by name is taken. Texts that are null or have no letter, and
+    all texts if nothing could be learned, are ``und`` with score 0. Null ids (crc32 of the empty text) and
+    repeated rows are learned and predicted like others, equal rows learned once; an empty table gives no
+    rows; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (crc_of_id(F.col("doc_id")) % folds == held_out).alias("held_out"))
-    labelled = base.where("not held_out and lang is not null and doc_id is not null")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = labelled.select("doc_id", "lang").withColumn("n", first).where(F.col("n") <= per_language).select("doc_id")
-    # at most per_language * LANGUAGES ids and texts, whatever the size of the corpus
-    common = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    chosen = [r[0] for r in ids.limit(per_language * LANGUAGES).collect()]
-    sample = labelled.where(F.col("text").isNotNull() & F.col("lang").isin(common) & F.col("doc_id").isin(chosen)) if chosen else labelled.limit(0)
-    rows = sample.select("lang", F.substring("text", 1, CHARS).alias("text"), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(per_language * LANGUAGES).collect()
-    names = sorted({r["lang"] for r in rows})
-    net = spark.sparkContext.broadcast(train([(r["text"], names.index(r["lang"])) for r in rows], max(len(names), 1)))
+    labelled = base.where("not held_out and lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    windows = _sample(labelled, per_language, sample)
+    names = sorted({lang for lang, _ in windows})
+    net = spark.sparkContext.broadcast(train([(w, names.index(lang)) for lang, w in windows], max(len(names), 1), steps))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(net.value, len(names))
+        ids, held, texts, size = [], [], [], 0
+
+        def answer() -> pa.RecordBatch:
+            given = [i for i, t in enumerate(texts) if t is not None]
+            mean = label(net.value, [texts[i] for i in given])
+            p = np.exp(mean - mean.max(1, keepdims=True))
+            name, score = ["und"] * len(texts), [0.0] * len(texts)
+            for i, best, own in zip(given, p.argmax(1).tolist(), (p.max(1) / p.sum(1)).tolist()):
+                name[i], score[i] = names[best], own
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(name, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out: tuple[list, list] = ([], [])
-            for k in range(0, len(texts), 256):
-                some = [t if t and any(map(str.isalpha, t)) and names else None for t in texts[k : k + 256]]
-                found = reader.read([t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in some])
-                for t, x in zip(some, found):
-                    if t is None:
-                        out[0].append("und")
-                        out[1].append(0.0)
-                        continue
-                    mean = x[:-1] / max(x[-1], 1)
-                    p = np.exp(mean - mean.max())
-                    out[0].append(names[int(p.argmax())])
-                    out[1].append(float(p.max() / p.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            for id_, text, out in zip(*(c.to_pylist() for c in batch.columns)):
+                known = names and text and any(map(str.isalpha, text))
+                ids.append(id_)
+                held.append(out)
+                texts.append(text.encode("utf-8", "surrogatepass").lower() if known else None)
+                size += len(texts[-1] or b"") + 100
+                if size >= GATHERED:
+                    yield answer()
+                    ids, held, texts, size = [], [], [], 0
+        if ids:
+            yield answer()
 
     return base.select("doc_id", "text", "held_out").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
