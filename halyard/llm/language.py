@@ -24,7 +24,7 @@ from halyard.llm.common import crc_of_id, small_batches, stored, table
 
 #: Training sample: rows of a language, rows of all languages (one of each language at least), windows of a row, their bytes.
 DOCS, SAMPLE, PIECES, PIECE = 300, 20_000, 8, 64
-HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 200, 160, 0.02
+HIDDEN, EMBED, STEPS, BATCH, RATE = 16, 12, 250, 192, 0.02
 #: Positions that a window labels at most, bytes read beside them on either side, and the steps that window sizes are rounded to.
 WINDOW, CONTEXT, GRAIN = 448, 32, 32
 #: Windows read at once, for few languages; bytes of texts gathered before they are read.
