@@ -1,6 +1,12 @@
 import hashlib
+import random
+import re
+from collections import Counter
 
-from halyard.llm.fingerprints import fingerprint
+import pytest
+from pyspark.sql import functions as F
+
+from halyard.llm.fingerprints import LEVELS, SETS, fingerprint, with_next
 
 from .conftest import words
 
@@ -57,3 +63,84 @@ def test_texts_without_terms_of_the_lexicon_differ(make):
     assert len({got[i]["fingerprint"] for i in (0, 1, 40, 80, 81, 82)}) == 6
     assert got[81]["near_next"] < 1.0 and got[40]["near_next"] < 0.5
     assert got[10]["near_edited"] > 0 and got[10]["near_next"] > 0.5 and got[40]["near_edited"] > 0
+
+
+def by_hand(rows, least, most):
+    """Fingerprint sets as tuples of terms instead of hashes, and likenesses, by plain loops; {(id, text): [(near_edited, near_next, n sets)]}."""
+    terms = lambda t: frozenset(re.findall(r"[^\W_]+", t.lower())) or (frozenset([t]) if t else frozenset())
+    distinct = {t or "" for _, t, _ in rows}
+    df = Counter(w for t in distinct for w in terms(t))
+    lexicon = {w for w, n in df.items() if least * len(distinct) <= n <= max(most * len(distinct), 1)}
+    return terms, lexicon
+
+
+def sets_by_hand(words, h):
+    out = []
+    for level in range(LEVELS):
+        for k in range(SETS):
+            out.append(frozenset(w for w in words if not h[w] & ((1 << 2 * level) - 1) and h[w] >> 60 & 15 == k) or None)
+    return out
+
+
+def like(a, b):
+    best = 0.0
+    for level in range(LEVELS):
+        pairs = [(x, y) for x, y in zip(a[level * SETS : (level + 1) * SETS], b[level * SETS : (level + 1) * SETS]) if x or y]
+        if len(pairs) >= (4 if level else 1):
+            best = max(best, sum(x == y for x, y in pairs) / len(pairs))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_as_by_plain_loops(spark, make, seed):
+    """Rare words, common words, texts without terms of the lexicon, copies, repeated and null ids."""
+    rng = random.Random(seed)
+    pool = words(60, seed)
+    text = lambda: rng.choice([" ".join(rng.choices(pool, k=rng.randrange(1, 40))), " ".join(words(30, rng.random())), "...", "", None, "common words of all"])
+    rows = [(rng.choice([i, i, i, 7, None]), text(), "a") for i in range(80)]
+    rows += [rows[3]] * 3
+    terms, lexicon = by_hand(rows, 0.05, 0.4)
+    every = sorted({w for _, t, _ in rows for w in terms(t or "")} | {w for _, t, _ in rows for _, u, _ in rows for w in terms(edited(t or "", u or ""))})
+    h = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    tie = {r["w"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, _ in rows], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    ordered = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], tie[r[1]]), reverse=True)
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        x, y = terms(a) & lexicon, terms(b) & lexicon
+        x, y = (x, y) if x and y else (terms(a), terms(b))
+        return like(sets_by_hand(x, h), sets_by_hand(y, h))
+
+    want = Counter()
+    for k, (i, t) in enumerate(ordered):
+        u = ordered[(k + 1) % len(ordered)][1]
+        e = edited(t, u)
+        want[i, len(t), hashlib.sha256(e.encode()).hexdigest(), round(near(t, e), 6), round(near(t, u), 6)] += 1
+    got = fingerprint(make(rows).repartition(3), 0.05, 0.4).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 6), round(r["near_next"], 6)) for r in got) == want
+    name = {}  # texts agree in a fingerprint exactly if they agree in their sets
+    for k, (i, t) in enumerate(ordered):
+        own = terms(t) & lexicon or terms(t)
+        name.setdefault(hashlib.sha256(edited(t, ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest(), set()).add(tuple(sets_by_hand(own, h)))
+    prints = {}
+    for r in got:
+        if len(name[r["edited_sha256"]]) == 1:
+            assert prints.setdefault(r["fingerprint"], next(iter(name[r["edited_sha256"]]))) == next(iter(name[r["edited_sha256"]]))
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_unrelated_texts_of_rare_words_differ(make):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "a") for i in range(300)]
+    got = fingerprint(make(rows), 0.05, 0.4).collect()
+    assert len({r["fingerprint"] for r in got}) == 300 and max(r["near_next"] for r in got) == 0.0
+
+
+def test_a_frequent_id_and_equal_rows_are_parted(make):
+    """Most rows have no id, and most of those the same text: buckets stay small and each row is followed as it should."""
+    rows = [(None, "the same text of all", "a")] * 300 + [(None, " ".join(words(20, k)), "a") for k in range(150)] + [(i, " ".join(words(20, -i)), "a") for i in range(50)]
+    docs = make(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).repartition(4)
+    dealt = with_next(docs, 32).collect()
+    assert max(Counter(r["bucket"] for r in dealt).values()) < 60 and sum(r["copies"] for r in dealt if r["own"]) == 500
+    got = fingerprint(make(rows)).collect()
+    assert len(got) == 500 and sum(r["near_next"] == 1.0 for r in got) >= 299
