@@ -45,7 +45,7 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     Repeated three-word windows are found by sorting, in each text, one long per window: 40 bits of the
     window's hash and 24 of its place. Neighbours that agree in the 40 bits are compared in all 64;
-    a text where two differ there, or of over 2**24 words, takes the longer way of comparing all its windows.
+    a text where two differ there, or of over 2**24 words, has its windows sorted as pairs of hash and place.
     """
     own = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
     kept = [f"carry_{k}" for k in range(len(carry))]
@@ -76,8 +76,9 @@ def measure(docs: DataFrame, carry: list[str]) -> DataFrame:
     place = lambda x: f"cast({x} & {_POSITION}L as int)"
     differs = f"exists(d, i -> g[{place('k[i]')}] <> g[{place('k[i - 1]')}])"
     fast = f"sort_array(array_distinct(flatten(transform(d, i -> array({place('k[i - 1]')}, {place('k[i]')})))))"
-    # rare: one group of places for each distinct window
-    slow = "sort_array(flatten(filter(transform(array_distinct(g), x -> filter(transform(g, (y, i) -> case when x = y then i end), y -> y is not null)), x -> size(x) > 1)))"
+    pairs = "sort_array(transform(g, (x, i) -> named_struct('h', x, 'p', i)))"
+    equal = "filter(sequence(1, size(s) - 1), j -> s[j].h = s[j - 1].h)"
+    slow = f"element_at(transform(array({pairs}), s -> sort_array(array_distinct(flatten(transform({equal}, j -> array(s[j - 1].p, s[j].p)))))), 1)"
     df = df.select(*kept, *counts, F.expr(f"case when size(g) > {_MOST_WINDOWS} or {differs} then {slow} else {fast} end").alias("p"))
     covered = "cast(coalesce(aggregate(transform(p, (x, i) -> case when i = 0 then 3 else least(3, x - p[i - 1]) end), 0, (s, x) -> s + x), 0) as long)"
     out = df.select(*kept, *counts, F.expr(covered).alias("n_repeat_words"))
