@@ -9,6 +9,7 @@ holds more than ``fan_in * open_windows`` windows, whatever the size of the corp
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from array import array
@@ -23,18 +24,22 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import small_batches, stored, table
 
-#: Words kept in a worker's memory of token ids; beyond them it starts afresh.
-MEMORY = 500_000
+#: Words kept in a worker's memory of token ids, beyond which it starts afresh, and their longest: together a bound in bytes.
+MEMORY, LONGEST = 500_000, 48
+#: The normalization and the word pattern that words are parted by here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OPEN = f"{PIECE}, part long, ids binary"
 
 
 class WordEncoder:
-    """Token ids of texts, word by word: a space or line end always parts tokens in this vocabulary.
+    """Token ids of texts, word by word: a space or line end always parts tokens in this kind of vocabulary.
 
     Plain Latin words go to the library's model directly, with its normalization and word pattern
-    applied here; all others through its whole pipeline.
+    applied here; all others through its whole pipeline. Texts go there whole if the file's normalization
+    or pattern is another.
     """
 
     def __init__(self, path: str):
@@ -43,12 +48,18 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        parts = json.loads(self.tokenizer.to_str())
+        steps = (parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = parts["normalizer"] == NORMALIZER and len(steps) == 2 and steps[0].get("pattern") == {"Regex": PATTERN} and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
+        self.pattern = regex.compile(PATTERN)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.known: dict[str, bytes] = {"": b""}
-        self.word_end = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:"}
+        self.word_end = {c: self.whole(c) for c in ".,;:"}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def word(self, word: str) -> bytes:
         import unicodedata
@@ -68,6 +79,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return self.whole(text)
         words, known = text.replace("\n", " ").split(" "), self.known
         try:
             return b"".join(map(known.__getitem__, words))
@@ -75,10 +88,11 @@ class WordEncoder:
             if len(known) > MEMORY:
                 known.clear()
                 known[""] = b""
+            long: dict[str, bytes] = {}  # of this text alone
             for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return b"".join(map(known.__getitem__, words))
+                if w not in known and w not in long:
+                    (known if len(w) <= LONGEST else long)[w] = self.word(w)
+            return b"".join(long[w] if len(w) > LONGEST else known[w] for w in words) if long else b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -104,15 +118,20 @@ class Packer:
     def put(self, piece: tuple) -> Iterator[list[tuple]]:
         """Places a piece; yields the windows that this completes, each a list of pieces."""
         doc, start, ids, total = piece
-        while len(ids) // 4 >= self.size:
-            yield [(doc, start, ids[: 4 * self.size], total)]
-            start, ids = start + self.size, ids[4 * self.size :]
-        while ids:
-            n = len(ids) // 4
-            at = bisect_left(self.open, (n, -1))
-            if at < len(self.open):  # the least room that is enough
-                room, w = self.open.pop(at)
-                self.pieces[w].append((doc, start, ids, total))
+        at, end = 0, len(ids) // 4  # of what is left
+
+        def part(n: int) -> tuple:
+            return doc, start + at, ids[4 * at : 4 * (at + n)], total
+
+        while end - at >= self.size:
+            yield [part(self.size)]
+            at += self.size
+        while at < end:
+            n = end - at
+            fits = bisect_left(self.open, (n, -1))
+            if fits < len(self.open):  # the least room that is enough
+                room, w = self.open.pop(fits)
+                self.pieces[w].append(part(n))
                 if room == n:
                     yield self.pieces.pop(w)
                 else:
@@ -126,8 +145,8 @@ class Packer:
             room, w = self.open.pop(0)  # the fullest
             done = self.pieces.pop(w)
             if room >= self.least_cut:
-                done.append((doc, start, ids[: 4 * room], total))
-                start, ids = start + room, ids[4 * room :]
+                done.append(part(room))
+                at += room
             yield done
 
     def leftovers(self) -> list[list[tuple]]:
