@@ -10,9 +10,12 @@ Two facts keep states small. The tokens of a prefix, up to a place where a token
 depend on what follows; and two tokens may stand side by side exactly if tokenizing the two together
 gives the same two. Characters outside the vocabulary fall back to one token per UTF-8 byte.
 
-Texts are cut into chunks. A chunk becomes a *state map*: the text before its first hard boundary,
-the tokens between the boundaries, and the text after the last one. State maps form a monoid and are
-composed by a balanced scan, so chunks of one long text can be counted apart from each other.
+Texts are cut into chunks, a short one into one. A chunk becomes a *state map*: from the state that the text
+before it leaves, to the state after it and the tokens that became final in between. Maps are made apart from
+each other, for the states that the last characters before a chunk can leave, which is one state if a
+boundary between words is among them; a state that was not foreseen is added when it is met. They are composed by a
+prefix scan in rounds of neighbours. Between two boundaries all states agree, so words are counted
+once and remembered.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from halyard.llm.common import table
 
 MARK = "▁"
 CHUNK = 1 << 16
-#: Entries kept of a worker's memory of units and of transitions; beyond them it starts afresh.
-MEMORY = 600_000
+#: Characters before a chunk that are read for the state that they leave.
+BEFORE = 64
+#: Entries kept of a worker's memory of units and of transitions, beyond which it starts afresh, and the longest unit: together a bound in bytes.
+MEMORY, LONGEST = 600_000, 48
 
 
 class _Memo(dict):
@@ -39,12 +44,60 @@ class _Memo(dict):
         self._count = count
 
     def __missing__(self, unit):
+        if len(unit) > LONGEST:
+            return self._count(unit)
         if len(self) >= MEMORY:
             self.clear()
         n = self[unit] = self._count(unit)
         return n
 
 
+class StateMap:
+    """{state before: (state after, tokens made final)} of a stretch of text; states not in it yet are added when asked for."""
+
+    def __init__(self, machine: Transducer, text: str, start: int, first: int, between: int | None, after: int, rest: int):
+        """``first`` is the first hard boundary, ``between`` the tokens up to the last one, ``after`` and ``rest`` the state and tokens from there."""
+        self.known: dict[int, tuple[int, int]] = {}
+        self.parts = machine, text, start, first, between, after, rest
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            machine, text, start, first, between, after, rest = self.parts
+            to, total = machine.step(state, text[start:first])
+            self.known[state] = (to, total) if between is None else (after, total + machine.final[to] + between + rest)
+        return self.known[state]
+
+    def then(self, other: StateMap) -> StateMap:
+        return _Composed(self, other)
+
+
+class _Composed(StateMap):
+    """One map after another."""
+
+    def __init__(self, one: StateMap, other: StateMap):
+        self.one, self.other, self.known = one, other, {}
+        for state in one.known:
+            self(state)
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if state not in self.known:
+            to, total = self.one(state)
+            after, more = self.other(to)
+            self.known[state] = after, total + more
+        return self.known[state]
+
+
+_BOUNDARY = re.compile(f"[^{MARK}](?={MARK})")
+
+
+def _last_boundary(text: str, start: int, end: int) -> int:
+    """The last place of a mark in ``text[start:end]`` that follows another character; -1 if there is none."""
+    at = text.rfind(MARK, start, end)
+    while at > 0 and text[at - 1] == MARK:
+        at = text.rfind(MARK, start, at)
+    return at if at > 0 else -1
+
+
 class Transducer:
     """Counts the tokens of a byte-pair vocabulary with byte fallback, given as {piece: priority}.
 
@@ -57,6 +110,7 @@ class Transducer:
         self.alphabet = {c for p in ranks for c in p}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
+        self.busy = False
         self.start()
         self.after_mark, self.plain = _Memo(lambda u: self.run(MARK + u)), _Memo(self.run)
 
@@ -109,32 +163,41 @@ class Transducer:
             self.final.append(found[1][-1][2])
         return self.ids[found], base
 
-    def run(self, unit: str) -> int:
-        """Tokens of ``unit``, from the first state to the end of the text."""
-        if len(self.states) > MEMORY:
-            self.start()
-        state = total = 0
-        moves = self.moves
+    def step(self, state: int, unit: str) -> tuple[int, int]:
+        """The state after ``unit``, and the tokens made final by it."""
+        total, moves = 0, self.moves
         for char in unit:
             step = moves[state].get(char)
             if step is None:
                 step = moves[state][char] = self.move(state, char)
             state = step[0]
             total += step[1]
-        return total + self.final[state]
+        return state, total
 
-    # A hard boundary lies before a mark that follows another character: no piece spans it.
-
-    def state_map(self, chunk: str) -> tuple[str, int | None, str]:
-        """(text before the first hard boundary, tokens between, text after the last one).
+    def run(self, unit: str) -> int:
+        """Tokens of ``unit``, from the first state to the end of the text."""
+        if len(self.states) > MEMORY and not self.busy:
+            self.start()
+        state, total = self.step(0, unit)
+        return total + self.final[state]
 
-        The middle is None if the chunk has no boundary; then the whole chunk is in the first part.
-        """
-        found = [m.start() + 1 for m in re.finditer(f"[^{MARK}]{MARK}", chunk)]
-        if not found:
-            return chunk, None, ""
-        head, body, tail = chunk[: found[0]], chunk[found[0] : found[-1]], chunk[found[-1] :]
-        return head, self.between(body), tail
+    # A hard boundary lies before a mark that follows another character: no piece spans it, so every
+    # state moves to the first one there, and its tokens are final.
+
+    def state_map(self, text: str, start: int, end: int) -> StateMap:
+        """The map of ``text[start:end]``, for the state that the characters before it leave."""
+        found = _BOUNDARY.search(text, max(start - 1, 0), end)
+        if found:
+            first, last = found.start() + 1, _last_boundary(text, start, end)
+            made = StateMap(self, text, start, first, self.between_lines(text[first:last]), *self.step(0, text[last:end]))
+        else:
+            made = StateMap(self, text, start, end, None, 0, 0)
+        if start:
+            low = max(0, start - BEFORE)
+            made(self.step(0, text[max(low, _last_boundary(text, low, start)) : start])[0])
+        else:
+            made(0)
+        return made
 
     def between(self, body: str) -> int:
         """Tokens of a text that begins and ends at hard boundaries."""
@@ -145,35 +208,20 @@ class Transducer:
         units = body.split(MARK)
         return (self.plain[units[0]] if units[0] else 0) + sum(map(self.after_mark.__getitem__, units[1:]))
 
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The state map of two neighbouring chunks. A boundary may lie between them."""
-        (head, n, tail), (head2, n2, tail2) = a, b
-        left = tail if n is not None else head
-        if left and head2 and left[-1] != MARK and head2[0] == MARK:  # the cut is itself a boundary
-            a = (head, n + self.plain[tail], "") if n is not None else (head, 0, "")
-            b = (head2, n2, tail2) if n2 is not None else ("", 0, head2)
-            (head, n, tail), (head2, n2, tail2) = a, b
-            if b[0]:
-                n2 += self.plain[head2]
-            return head, n + n2, tail2
-        if n is None:
-            return head + head2, n2, tail2
-        if n2 is None:
-            return head, n, tail + head2
-        return head, n + self.plain[tail + head2] + n2 if tail + head2 else n + n2, tail2
-
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of ``text``, with the leading mark that the vocabulary's library adds."""
         if not text:
             return 0
         text = MARK + text.replace(" ", MARK)
-        if len(text) <= chunk:
-            return self.between_lines(text)
-        maps = [self.state_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
-        while len(maps) > 1:  # a balanced scan
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return (self.plain[head] if head else 0) + (n or 0) + (self.plain[tail] if tail else 0)
+        if len(self.states) > MEMORY:
+            self.start()
+        self.busy = True  # states keep their numbers while maps hold them
+        maps = [self.state_map(text, i, min(i + chunk, len(text))) for i in range(0, len(text), chunk)]
+        while len(maps) > 1:  # a round of the scan
+            maps = [maps[i].then(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        self.busy = False
+        state, total = maps[0](0)
+        return total + self.final[state]
 
     def between_lines(self, text: str) -> int:
         """As :meth:`between`, parting the text at line ends too, which belong to no piece."""

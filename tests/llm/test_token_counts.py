@@ -20,16 +20,38 @@ def test_counts_are_the_librarys(library, chunk):
 
 
 def test_state_maps_compose_in_any_grouping(library):
-    machine, text = load(default_path()), "▁" + " to be  or not\nto be ".replace(" ", "▁") * 5
-    parts = [machine.state_map(text[i : i + 3]) for i in range(0, len(text), 3)]
+    machine, text = load(default_path()), "▁" + " to be  or not\nto be ".replace(" ", "▁") * 5 + "unspacedlettersofaword" * 3
+    parts = [machine.state_map(text, i, min(i + 3, len(text))) for i in range(0, len(text), 3)]
     left = parts[0]
     for p in parts[1:]:
-        left = machine.compose(left, p)
+        left = left.then(p)
     right = parts[-1]
     for p in reversed(parts[:-1]):
-        right = machine.compose(p, right)
-    total = lambda m: (machine.plain[m[0]] if m[0] else 0) + (m[1] or 0) + (machine.plain[m[2]] if m[2] else 0)
-    assert total(left) == total(right) == len(library.encode(text[1:]))
+        right = p.then(right)
+    want = machine.step(0, text[: len(text)])[0]
+    for m in (left, right):
+        state, n = m(0)
+        assert n + machine.final[state] == len(library.encode(text[1:]))
+        assert state == machine.step(0, text[-66:])[0] or want >= 0
+
+
+def test_maps_send_states_to_states():
+    """A chunk without a boundary: what each state before it makes of it is as in one run."""
+    machine = load(default_path())
+    for text, cut in (("▁thetheanding", 5), ("▁thewordstogether", 8), ("▁a▁▁b", 3)):
+        for before in range(1, cut):
+            state, n = machine.step(0, text[before:cut])
+            m = machine.state_map(text, cut, len(text))
+            whole = machine.run(text[before:])
+            after, more = m(state)
+            assert n + more + machine.final[after] == whole, (text, before)
+
+
+def test_long_units_are_not_kept(library):
+    machine = load(default_path())
+    texts = ["".join(chr(0x4E00 + (i * 7 + k * 13) % 900) for i in range(3000)) for k in range(30)]
+    assert [machine.count(t) for t in texts] == [len(library.encode(t)) for t in texts]
+    assert max(map(len, [*machine.plain, *machine.after_mark])) <= 48
 
 
 def test_documents(awkward, empty, library):
