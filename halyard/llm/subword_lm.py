@@ -1,14 +1,12 @@
 """Language-model scores from a lattice of subwords.
 
-The pieces of an existing vocabulary, in the order of its scores, start as a Zipf distribution; a few
-rounds of expectation-maximisation over the distinct words of the training documents set their probabilities.
-A word's probability is the sum over all its segmentations into pieces, by a forward recursion in
-log space, and a text's that of its words and one end. Characters outside the vocabulary are spelt
-in bytes, so every text has a positive probability, and all of them together at most one.
-
-A word seen in training is one more edge of its lattice, from end to end. That edge and the
-segmentations are weighed by the Good-Turing share of seen words, so what the model holds of the corpus
-grows with it, and unseen words keep their subword probability.
+The pieces of an existing vocabulary are a unigram model: their own scores are its first weights, and a few
+rounds of expectation-maximisation over the words of the training documents, each as often as it stands
+there, set their probabilities. A word's probability is the sum over all its segmentations into pieces, by
+a forward recursion in log space, and a text's that of its words and one end, which is a piece of its own. Characters
+outside the vocabulary are spelt in bytes, so every text has a positive probability, and all of them
+together at most one. Nothing but the lattice is in the score: a word that training has seen is
+known by its pieces alone.
 """
 
 from __future__ import annotations
@@ -21,17 +19,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import crc_of_id, stored, table
+from halyard.llm.common import crc_of_id, small_batches, stored, table
 
 MARK = "▁"
 #: Words with at least this share of all training tokens are broadcast: at most 1 / SHARE of them.
 SHARE = 1e-6
-ROUNDS, SMOOTH, LONGEST = 2, 0.1, 64
-#: Words kept in a worker's memory; beyond them it starts afresh.
-MEMORY = 700_000
+ROUNDS, SMOOTH, LONGEST = 3, 0.1, 64
+#: Words kept in a worker's memory, beyond which it starts afresh, and their longest in bytes; characters of words read at once.
+MEMORY, KEPT, AT_ONCE = 700_000, 64, 1_000_000
 _MIX, _SLOTS, _SHIFT, _LOW = np.uint64(0x9E3779B97F4A7C15), 1 << 20, 64 - 20, 18
 
 
@@ -188,15 +186,21 @@ class Lattice:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> tuple[Lattice, np.ndarray]:
-    """(lattice, first log probabilities) of a sentencepiece model's pieces, best scores first."""
+    """(lattice, first log probabilities) of a sentencepiece model's pieces, best scores first.
+
+    Scores that are log probabilities, as a unigram model has them, are taken as they are. Those of a byte-pair
+    model count merges from 0 down, and are taken as Zipf weights: 1 / (10 - score). Byte pieces and
+    the end have the weight of the last piece.
+    """
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
     kept = sorted((i for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_unused(i))), key=lambda i: (not sp.is_byte(i), -sp.get_score(i)))
     pieces = [sp.id_to_piece(i) for i in kept]
     bytes_ = {int(sp.id_to_piece(i)[3:5], 16): k for k, i in enumerate(kept) if sp.is_byte(i)}
-    first = np.log(1.0 / (np.arange(len(pieces) + 1) + 10.0))  # and the end
-    first[: len(bytes_)] = first[-1]
+    scores = np.array([sp.get_score(i) for i in kept[len(bytes_) :]])
+    first = scores if abs(np.exp(scores).sum() - 1) < 0.2 else -np.log(10.0 - scores)
+    first = np.r_[np.full(len(bytes_), first.min()), first, first.min()]  # and the end
     return Lattice(pieces, bytes_), first - np.log(np.exp(first).sum())
 
 
@@ -222,22 +226,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    counts: Counter = Counter()
+    counts, size = Counter(), 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
-                counts.update(words_of(text))
-            if len(counts) > MEMORY:
+                words = words_of(text)
+                counts.update(words)
+                size += sum(len(w) for w in words if len(w) > KEPT)
+            if len(counts) > MEMORY or size > MEMORY * KEPT:
                 yield rows(counts)
-                counts = Counter()
+                counts, size = Counter(), 0
     yield rows(counts)
 
 
 def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = ROUNDS) -> np.ndarray:
-    """Log probabilities of the pieces and the end, from the distinct words (word, n) of training.
+    """Log probabilities of the pieces and the end, from the words (word, n) of training and its number of texts.
 
-    Each distinct word counts once, however often it stands there: the lattice has to tell how likely
-    words are that were never seen, and those are like rare words, not like the most frequent ones.
     Each round sends one expected count for each piece and partition; the vocabulary bounds what meets.
     """
     lattice, logp = load(path or default_path())
@@ -245,78 +249,97 @@ def train(words: DataFrame, ends: int, path: str | None = None, rounds: int = RO
 
         def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             lattice, _ = load(path or default_path())
-            total, words, weights = np.zeros(lattice.n), [], []
+            total, words, weights, size = np.zeros(lattice.n), [], [], 0
             for batch in batches:
-                words += [MARK + w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-                weights.append(np.ones(batch.num_rows))
-                if len(words) >= 50_000:
-                    total += lattice.expect(words, np.concatenate(weights), logp)
-                    words, weights = [], []
+                for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    words.append(MARK + w.decode("utf-8", "replace"))
+                    weights.append(n)
+                    size += len(w)
+                    if size >= AT_ONCE:
+                        total += lattice.expect(words, np.array(weights, float), logp)
+                        words, weights, size = [], [], 0
             if words:
-                total += lattice.expect(words, np.concatenate(weights), logp)
+                total += lattice.expect(words, np.array(weights, float), logp)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
 
         found = words.select("word", "n").mapInArrow(expect, "piece long, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
         uses = np.full(lattice.n + 1, SMOOTH)
         uses[found["piece"].to_numpy(int)] += found["uses"].to_numpy(float)
-        uses[-1] += min(ends, 1)
+        uses[-1] += ends
         logp = np.log(uses / uses.sum())
     return logp
 
 
 class _Scorer:
-    """Words remembered with their scores: lattice and final log10 probability, log10(c + 1) if common, and whether it is."""
+    """Words remembered with their scores: lattice log10 probability, log10(c + 1) if common, and whether it is."""
 
-    def __init__(self, lattice: Lattice, logp: np.ndarray, keys: np.ndarray, counts: np.ndarray, seen: float, n: int):
-        self.lattice, self.logp, self.keys, self.counts, self.seen, self.n = lattice, logp, keys, counts, seen, n
+    def __init__(self, lattice: Lattice, logp: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+        self.lattice, self.logp, self.keys, self.counts = lattice, logp, keys, counts
+        self.forget()
+
+    def forget(self) -> None:
         self.memory: dict[bytes, int] = {}
-        self.own, self.hashes = np.zeros((1024, 4)), np.zeros(1024, np.int64)
+        self.own, self.hashes, self.used = np.zeros((1024, 3)), np.zeros(1024, np.int64), 0
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def learn(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Remembers the words of ``texts``; returns those too long to keep for others."""
         memory = self.memory
         new = list({w for text in texts for w in text if w not in memory})
-        if memory and len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list({w for text in texts for w in text})
-        at, end = len(memory), len(memory) + len(new)
+        if memory and self.used + len(new) > MEMORY:
+            self.forget()
+            memory, new = self.memory, list({w for text in texts for w in text})
+        at, end = self.used, self.used + len(new)
         if end > len(self.own):
-            more = end // 2 + 1024
-            self.own = np.concatenate([self.own[:at], np.zeros((end - at + more, 4))])
-            self.hashes = np.concatenate([self.hashes[:at], np.zeros(end - at + more, np.int64)])
+            more = end - at + end // 2
+            self.own = np.concatenate([self.own[:at], np.zeros((more, 3))])
+            self.hashes = np.concatenate([self.hashes[:at], np.zeros(more, np.int64)])
         if not new:
-            return
+            return []
         fresh = self.own[at:end]
         fresh[:, 0] = self.lattice.score([MARK + w.decode("utf-8", "replace") for w in new], self.logp) / math.log(10)
         h = self.hashes[at:end] = np.fromiter(map(key_of, new), np.int64, len(new))
-        fresh[:, 1], fresh[:, 2:] = math.log10(1 - self.seen) + fresh[:, 0], 0
+        fresh[:, 1:] = 0
         if len(self.keys):
             found = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[found] == h
-            c = self.counts[found[hit]]
-            if self.seen:
-                fresh[hit, 1] = np.logaddexp(np.log(self.seen * c / self.n), fresh[hit, 1] * math.log(10)) / math.log(10)
-            fresh[hit, 2], fresh[hit, 3] = np.log10(c + 1.0), 1
+            fresh[hit, 1], fresh[hit, 2] = np.log10(self.counts[found[hit]] + 1.0), 1
         memory.update(zip(new, range(at, end)))
+        self.used = end
+        return [w for w in new if len(w) > KEPT]
 
     def score(self, texts: list[list[bytes]], end_score: float) -> list[pa.Array]:
-        """Columns n_tokens, known, base, score, and keys, times and spelt of the words that are not common."""
-        self.learn(texts)
-        out: list[list] = [[] for _ in range(7)]
+        """Columns n_tokens, known, base, score, and keys and times of the words that are not common."""
+        long = self.learn(texts)
+        out: list[list] = [[] for _ in range(6)]
         for text in texts:
             ids = np.fromiter(map(self.memory.__getitem__, text), np.int64, len(text))
             own = self.own[ids]
             sums = own.sum(0)
-            left = ids[own[:, 3] == 0]
-            rare, first, times = np.unique(self.hashes[left], return_index=True, return_counts=True)
-            for column, x in zip(out, (len(text) + 1, int(sums[3]), sums[2], sums[1] + end_score, rare, times, self.own[left[first], 0])):
+            rare, times = np.unique(self.hashes[ids[own[:, 2] == 0]], return_counts=True)
+            for column, x in zip(out, (len(text) + 1, int(sums[2]), sums[1], sums[0] + end_score, rare, times)):
                 column.append(x)
+        for w in long:
+            del self.memory[w]
         plain = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         size = pa.array(np.r_[0, np.cumsum([len(x) for x in out[4]])], pa.int32())
-        lists = [pa.ListArray.from_arrays(size, pa.array(np.concatenate(c).astype(t))) for c, t in zip(out[4:], (np.int64, np.int32, np.float32))]
+        lists = [pa.ListArray.from_arrays(size, pa.array(np.concatenate(c).astype(t))) for c, t in zip(out[4:], (np.int64, np.int32))]
         return plain + lists
 
 
+def in_parts(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Up to 256 texts, or as many as have AT_ONCE bytes."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if len(some) == 256 or size >= AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 _kept: dict[str, _Scorer] = {}
 
 
@@ -328,18 +351,13 @@ def _scorer(run: str, make) -> _Scorer:
     return _kept[run]
 
 
-def _log10_of_1_plus(x: Column) -> Column:
-    """log10(1 + 10 ** x), also where the power is beyond a double; null x, of a share of 0, gives 0."""
-    more = F.log1p(F.pow(F.lit(10.0), -F.abs(x))) / math.log(10)
-    return F.coalesce(F.greatest(x, F.lit(0.0)) + more, F.lit(0.0))
-
-
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = SHARE, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
 
     Training documents are those whose crc32 of the id modulo ``folds`` is not ``held_out``. Null and
     empty texts are the end alone; a null id counts as an empty one; repeated rows are counted and
-    scored as often as they stand there; an empty table gives no rows. Words are met by 64-bit hashes.
+    scored as often as they stand there; an empty table gives no rows; other columns are not read. Words are
+    met by 64-bit hashes; bytes that are not valid UTF-8 are scored as one replacement character.
 
     Counts of words that hold ``share`` of all training tokens are broadcast (at most 1 / share words);
     the counts of all others are joined to their documents by a shuffle.
@@ -359,11 +377,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
     tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = tokens + ends, types + (1 if ends else 0)
     logp = train(words, ends, path)
-    once = words.where("n = 1").count()
-    seen = min(max(1 - once / n, 0.0), 0.999) if n else 0.0
-    lattice, _ = load(path or default_path())
-    inner = sum(math.exp(logp[i]) for p, i in lattice.ids.items() if p[0] != MARK) + sum(math.exp(logp[i]) for i in lattice.bytes.values())
-    end_score = math.log10((seen * ends / n if n else 0.0) + (1 - seen) * math.exp(logp[-1]) / (1 - inner))
+    end_score = float(logp[-1]) / math.log(10)
     logp = spark.sparkContext.broadcast(logp)
     least = max(1.0, share * n)
     common = words.where(F.col("n") >= least).select("key", "n").orderBy("key").toPandas()  # at most 1 / share
@@ -374,28 +388,29 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        scorer = _scorer(run, lambda: _Scorer(load(path or default_path())[0], logp.value, *common.value, seen, n))
+        scorer = _scorer(run, lambda: _Scorer(load(path or default_path())[0], logp.value, *common.value))
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                found = scorer.score([words_of(t) for t in part.column(1).to_pylist()], end_score)
+            done = 0
+            for texts in in_parts(batch.column(1).to_pylist()):
+                part = batch.slice(done, len(texts))
+                found = scorer.score([words_of(t) for t in texts], end_score)
                 rows = pa.array(range(row, row + part.num_rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, *found], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "keys", "times", "spelt"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), rows, *found], ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "keys", "times"])
                 row += part.num_rows
+                done += part.num_rows
 
-    scored = base.select("doc_id", "text", "held_out").mapInArrow(score, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, keys array<long>, times array<int>, spelt array<float>")
+    small_batches(spark)
+    scored = base.select("doc_id", "text", "held_out").mapInArrow(score, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, keys array<long>, times array<int>")
     scored = stored(scored)
-    rare = scored.where("size(keys) > 0").select("row", F.explode(F.arrays_zip("keys", "times", "spelt")).alias("x")).select("row", F.col("x.keys").alias("key"), "x.times", "x.spelt")
+    rare = scored.where("size(keys) > 0").select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), "x.times")
     met = rare.join(words.where(F.col("n") < least).select("key", "n"), "key")
-    # by how much the whole-word edge lifts what the score already holds of the word
-    lift = _log10_of_1_plus(F.log10(F.lit(seen / (max(n, 1) * (1 - seen))) * F.col("n")) - F.col("spelt").cast("double"))
-    rest = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum(F.col("times") * lift).alias("lift"))
-    df = scored.drop("keys", "times", "spelt").join(rest, "row", "left")
+    rest = met.groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
+    df = scored.drop("keys", "times").join(rest, "row", "left")
     end_known = 1 if ends else 0
     known = F.col("known") + F.coalesce("more_known", F.lit(0)) + end_known
     total = F.col("base") + F.coalesce("more", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n + v + 1)
-    return df.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), total.alias("base_score"), (F.col("score") + F.coalesce("lift", F.lit(0.0))).alias("score"))
+    return df.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), total.alias("base_score"), "score")
 
 
 def op5_subword_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
