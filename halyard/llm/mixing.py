@@ -10,10 +10,11 @@ source gives its target to the word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard.llm.common import WORD, n_words, stored, table
+from halyard.operators.numbering import numbered
 
 #: The golden ratio's fraction in units of 2**-31: slot * GOLDEN mod 2**31 is exact in 64-bit integers.
 GOLDEN, UNIT = 1327217885, 1 << 31
@@ -22,6 +23,8 @@ BLOCK = 1024
 BUCKETS = 4096
 CHUNK = 1 << 16
 CELLS = 1024
+#: Keys of repeated rows up to this many are broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
@@ -140,25 +143,46 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row of ``docs`` once for every whole time that the schedule takes it.
 
     Where a source's last slot ends inside a document, its first words up to there follow as one more row,
-    with ``n_chars`` (if there) set anew. Rows without words are not taken.
+    with ``n_chars`` (if there) set anew. Rows without words, null and empty texts among them, are not taken. Rows of equal id,
+    source and text, null or not, share what is taken of them in any order. An empty table gives no rows. Other columns
+    are carried along, whatever their names.
     """
-    key = lambda doc_id, source, text: F.xxhash64(doc_id, source, text).alias("mix_key")
-    taken = mix(docs, **options).where("taken > 0").select(key("doc_id", "source", "tie"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), "start")
-    taken = taken.withColumn("mix_copy", F.row_number().over(Window.partitionBy("mix_key").orderBy("start"))).drop("start")
-    # equal rows are told apart by a number; as bounds, not as a join key, it leaves one shuffle of the texts
-    own = docs.withColumn("mix_key", key(F.col("doc_id").cast("long"), F.col("source"), F.xxhash64("text")))
-    own = own.withColumn("mix_own", F.row_number().over(Window.partitionBy("mix_key").orderBy("mix_key")))
-    same = (own["mix_key"] == taken["mix_key"]) & (F.col("mix_own") <= F.col("mix_copy")) & (F.col("mix_own") >= F.col("mix_copy"))
-    turns, rest = F.floor(F.col("mix_taken") / F.col("mix_size")), F.col("mix_taken") % F.col("mix_size")
+    source = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.xxhash64("text").alias("tie"))
+    own = own.select("row", F.xxhash64("doc_id", "source", "tie").alias("key"))
+    taken = mix(docs, **options).where("taken > 0")
+    source = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+    taken = stored(taken.select("doc_id", source.alias("source"), "tie", "size", "taken", "start").select(F.xxhash64("doc_id", "source", "tie").alias("key"), "size", "taken", "start"))
+    # of equal rows only what is taken is numbered, in the order of the mix; the rows themselves, which are whole texts, only where a key has several
+    times = stored(own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    many = times.count()
+    if many <= BROADCAST_KEYS:
+        times = F.broadcast(times)
+    once = own.join(times, "key", "left_anti").withColumn("copy", F.lit(1).cast("long"))
+    alone = taken.join(times, "key", "left_anti").withColumn("copy", F.lit(1).cast("long"))
+    if many:
+        once = once.unionByName(_copies(own.join(times, "key", "left_semi"), F.rand(7)))
+        alone = alone.unionByName(_copies(taken.join(times, "key", "left_semi"), F.col("start")))
+    # the number is a bound and no join key where there is one shuffle of the texts
+    same = (F.col("own.key") == F.col("taken.key")) & (F.col("own.copy") <= F.col("taken.copy")) & (F.col("own.copy") >= F.col("taken.copy"))
+    df = once.alias("own").join(alone.alias("taken"), same).select("own.row", "taken.size", "taken.taken")
+    turns, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     lengths = F.concat(F.array_repeat(F.lit(-1).cast("long"), turns.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    df = own.join(taken, same).withColumn("mix_words", F.explode(lengths))
+    df = df.select("row", F.explode(lengths).alias("words"))
     # each source has one such row at most
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("mix_words").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
-    df = df.withColumn("text", F.when(F.col("mix_words") < 0, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("mix_words") < 0, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return df.select(*docs.columns)
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    df = df.select("row", F.when(F.col("words") >= 0, cut).alias("cut"))
+    new = {"text": F.coalesce("cut", "row.text").alias("text"), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.char_length("cut").cast("long")).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.coalesce("cut", "row.text").alias("text")}
+    return df.select(*(new[c] if c in new else F.col(f"row.`{c}`") for c in docs.columns))
+
+
+def _copies(rows: DataFrame, order: Column) -> DataFrame:
+    """Adds ``copy``: 1, 2, ... among the rows of a key, numbered by ranges of key and ``order``, so that no task holds a key."""
+    df = numbered(rows.withColumn("at", order), ["key", "at"], "place").drop("at")
+    df = stored(df)
+    first = stored(df.groupBy("key").agg(F.min("place").alias("first")))
+    return df.join(first, "key").withColumn("copy", F.col("place") - F.col("first") + 1).drop("place", "first")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ def awkward(spark, make):
         (None, None, None, None),
     ]
     df = make(rows)
-    for c in ("n", "size", "row", "start", "key", "source_size", "bucket", "t", "w", "c", "line", "pos", "tie", "root", "kept", "dropped"):
+    for c in ("n", "size", "row", "start", "source_size", "bucket", "t", "w", "c", "line", "pos", "tie", "root", "kept", "dropped", "n_lines", "mix_key", "mix_size", "key", "copy", "cut", "words"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 

@@ -57,7 +57,7 @@ def test_awkward_documents(spark, awkward, empty, name, stage):
         rows = out.collect()
         if name != "packing":
             assert out.columns == docs.columns
-            assert all(r["dropped"] == r["kept"] == r["n"] == "clash" for r in rows)
+            assert all(r["dropped"] == r["kept"] == r["n"] == r["mix_size"] == r["n_lines"] == r["copy"] == "clash" for r in rows)
         if docs is empty:
             assert not rows
         elif name != "quality":  # which may reject all of so few
