@@ -55,10 +55,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # stored, so that both sides of the joins are plain shuffles and a star's partition can be split
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = stored(down)
+        least = stored(down.groupBy("a").agg(F.min("b").alias("m")))
         small = down.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         edges = stored(small.where("a <> b").distinct())

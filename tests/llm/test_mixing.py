@@ -71,3 +71,15 @@ def test_mixed_texts_hold_the_taken_words(make):
         held[r["doc_id"]] += len(r["text"].split())
         assert r["n_chars"] == len(r["text"])
     assert held == {r["doc_id"]: r["taken"] for r in taken if r["taken"]}
+
+
+def test_repeated_rows_share_what_is_taken(make):
+    """Equal rows, without ids too: together they hold the words that the mix takes of them."""
+    rows = [(None, " ".join(words(20, 1)), "a")] * 25 + [(3, " ".join(words(15, 2)), "b")] * 3 + [(10 + i, " ".join(words(30, i)), "c") for i in range(9)]
+    docs = make(rows).repartition(4)
+    want, held = defaultdict(int), defaultdict(int)
+    for r in mix(docs, block=16).collect():
+        want[r["doc_id"]] += r["taken"]
+    for r in mix_texts(docs, block=16).collect():
+        held[r["doc_id"]] += len(r["text"].split())
+    assert dict(held) == {k: v for k, v in want.items() if v}

@@ -66,9 +66,10 @@ def test_matches_brute_force(make, n, percent):
 
 
 def test_tiles_and_small_buckets(make, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "TILE", 2500)
     monkeypatch.setattr(ngram_join, "KEYS", 200)
     monkeypatch.setattr(ngram_join, "SHORT", 4)
+    monkeypatch.setattr(ngram_join, "DEALT", 300)
     rows = varied(2)
     got = near_duplicates(make([(i, t, "a") for i, t in rows]))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows, 4, 85)
@@ -101,6 +102,30 @@ def test_one_of_each_group_stays(make):
     assert kept == {d if n == 0 else c for d, n, c in brute(rows, 5, 80)}
 
 
+def test_links_across_sides_join_all_linked_sets():
+    rng, sets = np.random.default_rng(5), []
+    for _ in range(15):
+        base = rng.choice(3000, 50, replace=False)
+        for _ in range(int(rng.integers(1, 9))):
+            s = base.copy()
+            k = int(rng.integers(0, 6))
+            s[:k] = rng.choice(10_000, k) + 3000
+            sets.append(np.unique(s).astype(np.uint64))
+    side = [bool(x) for x in rng.integers(0, 2, len(sets))]
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if side[i] != side[j] and 185 * len(np.intersect1d(sets[i], sets[j])) >= 85 * (len(sets[i]) + len(sets[j]))]
+    links = link(sets, 85, side)
+    roots = lambda pairs: (lambda f: ([f.join(a, b) for a, b in pairs], [f.find(i) for i in range(len(sets))])[1])(ngram_join.Forest())
+    assert set(map(frozenset, links)) <= set(map(frozenset, every)) and roots(links) == roots(every)
+
+
+def test_one_stays_of_equal_rows_and_of_texts_without_ids(make):
+    a, b, c = (" ".join(words(30, k)) for k in "abc")
+    rows = [(1, a, "x")] * 3 + [(None, b, "x")] * 4 + [(None, b + " more", "x"), (None, c, "x"), (7, c, "x"), (7, c + " end", "x"), (8, "", "x"), (8, "", "x"), (None, None, "x")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in keep_one_of_each(make(rows).repartition(3)).collect()), key=repr)
+    assert len(kept) == 6 and (1, a) in kept and kept.count((8, "")) == 2 and (None, None) in kept
+    assert sum(t in (b, b + " more") for _, t in kept) == 1 and [d for d, t in kept if t in (c, c + " end")] == [7]
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1002), (5, 5)], "a long, b long").repartition(4)
