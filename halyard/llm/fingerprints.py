@@ -130,9 +130,18 @@ def edited(text: Column, next_text: Column) -> Column:
 def sets_of(ordered: Column) -> Column:
     """The hashes of LEVELS x SETS sets of sorted terms; null for a set without any."""
     sampled = lambda mask: F.filter(ordered, lambda t: t.bitwiseAND(F.lit(mask)) == 0)
-    parts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(SETS - 1)), lambda k: F.filter(own, lambda t: F.shiftrightunsigned(t, 60) == k))
-    levels = [sampled((1 << 2 * level) - 1) if level else ordered for level in range(LEVELS)]
-    return F.concat(*(F.transform(parts(own), lambda x: F.when(F.size(x) > 0, F.xxhash64(x))) for own in levels))
+    bit = lambda own, n, value: F.filter(own, lambda t: F.shiftrightunsigned(t, n).bitwiseAND(F.lit(1)) == value)
+
+    def halved(parts: Column, n: int) -> Column:
+        return F.flatten(F.transform(parts, lambda own: F.array(bit(own, n, 0), bit(own, n, 1))))
+
+    found = []
+    for level in range(LEVELS):
+        parts = F.array(sampled((1 << 2 * level) - 1) if level else ordered)
+        for n in range(63, 63 - SETS.bit_length() + 1, -1):
+            parts = halved(parts, n)
+        found.append(F.transform(parts, lambda x: F.when(F.size(x) > 0, F.xxhash64(x))))
+    return F.concat(*found)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -163,19 +172,20 @@ def fingerprint(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Da
     rows = with_next(docs).withColumn("e", F.when(F.col("own"), edited(F.col("t"), F.col("next_t"))))
     # followed by itself, where it has copies
     rows = rows.withColumn("s", F.when(F.col("own") & (F.col("copies") > 1), edited(F.col("t"), F.col("t"))))
-    sha = lambda c: F.sha2(c, 256).alias(f"sha_{c}")
-    kept = ["bucket", "rn", "own", "doc_id", "copies", "n_chars", "sha_e", "sha_s", "h_t", "h_e", "h_s"]
-    rows = rows.select(*kept[:5], F.char_length("t").cast("long").alias("n_chars"), sha("e"), sha("s"), *(F.xxhash64(c).alias(f"h_{c}") for c in "tes"), *"tes")
-    texts = F.array(*(F.struct(F.lit(c).alias("which"), F.col(c).alias("text")) for c in "tes"))
-    rows = rows.select(*kept, F.explode(F.filter(texts, lambda x: x["text"].isNotNull())).alias("x")).select(*kept, "x.which", F.explode_outer(terms(F.col("x.text"))).alias("term"))
+    rows = rows.withColumns({f"all_{c}": F.sort_array(terms(F.col(c))) for c in "tes"})
+    row = ["own", "doc_id", "copies", F.char_length("t").cast("long").alias("n_chars"), *(F.sha2(c, 256).alias(f"sha_{c}") for c in "es"), *(F.xxhash64(c).alias(f"h_{c}") for c in "tes"), *(f"all_{c}" for c in "tes")]
+    rows = rows.select("bucket", "rn", F.struct(*row).alias("row"))
+    # one row for each term, without the row's other columns, and one with these
+    none = F.when(F.lit(False), F.col("row"))
+    entry = lambda which, term, row: F.struct(F.lit(which).alias("which"), term.alias("term"), row.alias("row"))
+    of_text = lambda c: F.transform(F.coalesce(f"row.all_{c}", F.array().cast("array<long>")), lambda t: entry(c, t, none))
+    each = F.concat(F.array(entry("", F.lit(None).cast("long"), F.col("row"))), *map(of_text, "tes"))
+    rows = rows.select("bucket", "rn", F.explode(each).alias("x")).select("bucket", "rn", "x.*")
     if words.count() <= BROADCAST_TERMS:
         words = F.broadcast(words)
-    rows = rows.join(words.withColumn("known", F.lit(True)), "term", "left")
-    gathered = {}
-    for c in "tes":
-        gathered[f"all_{c}"] = F.when(F.col("which") == c, F.col("term"))
-        gathered[f"own_{c}"] = F.when((F.col("which") == c) & F.col("known"), F.col("term"))
-    sets = rows.groupBy(*kept).agg(*(F.sort_array(F.collect_list(x)).alias(name) for name, x in gathered.items()))
+    rows = rows.join(words.withColumn("known", F.lit(True)), "term", "left").where("known or which = ''")
+    gathered = [F.sort_array(F.collect_list(F.when(F.col("which") == c, F.col("term")))).alias(f"own_{c}") for c in "tes"]
+    sets = rows.groupBy("bucket", "rn").agg(F.first("row", ignorenulls=True).alias("row"), *gathered).select("bucket", "rn", "row.*", *(f"own_{c}" for c in "tes"))
     sets = sets.withColumns({f"sets_{c}": sets_of(F.col(f"own_{c}")) for c in "tes"})
     order = Window.partitionBy("bucket").orderBy("rn")
     after = ("h_t", "all_t", "sets_t", F.size("own_t"))
@@ -188,8 +198,8 @@ def fingerprint(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Da
 
     near_edited = lambda c: near(F.col("h_t") == F.col(f"h_{c}"), known("t") & known(c), F.col(f"sets_{c}"), F.col(f"all_{c}"))
     near_next = near(F.col("h_t") == F.col("next_h"), known("t") & (F.col("next_own") > 0), F.col("next_sets"), F.col("next_all"))
-    row = lambda c, next_: F.struct(F.col(f"sha_{c}").alias("sha"), text_of(name(c)).alias("print"), near_edited(c).alias("edited"), next_.alias("next"))
-    sets = sets.select("doc_id", "n_chars", "copies", text_of(name("t")).alias("fingerprint"), row("e", near_next).alias("x"), F.when(F.col("copies") > 1, row("s", F.lit(1.0))).alias("y"))
+    found = lambda c, next_: F.struct(F.col(f"sha_{c}").alias("sha"), text_of(name(c)).alias("print"), near_edited(c).alias("edited"), next_.alias("next"))
+    sets = sets.select("doc_id", "n_chars", "copies", text_of(name("t")).alias("fingerprint"), found("e", near_next).alias("x"), F.when(F.col("copies") > 1, found("s", F.lit(1.0))).alias("y"))
     each = F.when(F.col("copies") > 1, F.concat(F.array("x"), F.array_repeat("y", (F.col("copies") - 1).cast("int")))).otherwise(F.array("x"))
     sets = sets.select("doc_id", "n_chars", "fingerprint", F.explode(each).alias("x"))
     return sets.select("doc_id", "n_chars", F.col("x.sha").alias("edited_sha256"), "fingerprint", F.col("x.print").alias("edited_fingerprint"), F.col("x.edited").alias("near_edited"), F.col("x.next").alias("near_next"))
