@@ -31,24 +31,23 @@ BROADCAST_LEAVES = 1_000_000
 _WHO = "doc_id", "th"
 
 
-def tokens_of(line: Column) -> Column:
-    """The tokens of a line: what stands between white space."""
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
-
-
-def _folded(line: Column) -> Column:
-    return F.regexp_replace(line, "[0-9]+", "0")
+def _even(line: Column, digits: bool) -> Column:
+    """A line's tokens, which stand between white space, parted by one space; with ``digits``, runs of these are folded."""
+    odd = line.rlike(r"[\x09-\x0D]|  " + "|[0-9]" * digits) | line.startswith(" ") | line.endswith(" ")
+    even = F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0") if digits else line, r"[\x20\x09-\x0D]+", " "))
+    return F.when(odd, even).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, d, pos, line, w, n, leaf, lh) for each line with tokens ``w``, digits folded.
+    """(doc_id, th, d, pos, line, even, n, leaf, lh) for each line with tokens; ``even`` has them parted evenly, digits folded.
 
     ``d`` names the document: its id, or its text where the id is null. ``th`` tells texts of an id apart.
     """
     df = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    df = df.withColumn("w", tokens_of(_folded(F.col("line")))).withColumn("n", F.size("w")).where("n > 0")
+    df = df.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("even", _even(F.col("line"), True))
+    df = df.withColumn("n", F.regexp_count("even", F.lit(" ")) + 1)
     d = F.when(F.col("doc_id").isNull(), F.xxhash64("th", F.lit(2))).otherwise(F.xxhash64("doc_id", F.lit(1)))
-    return df.withColumns({"d": d, "leaf": F.xxhash64("n", F.slice("w", 1, LEADING)), "lh": F.xxhash64("w")})
+    return df.withColumns({"d": d, "leaf": F.xxhash64("n", F.substring_index("even", " ", LEADING)), "lh": F.xxhash64("even")})
 
 
 def _first(*columns: str) -> Column:
@@ -129,7 +128,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
     lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     # lines of few tokens have no leaf, others a hash of the line as it stands only if they are long
     short, letter = F.col("n") < MIN_TOKENS, F.col("line").rlike(r"\p{L}")
-    passage = F.when((F.col("n") >= PASSAGE) & letter, F.xxhash64(tokens_of(F.col("line")), F.lit(3)))
+    passage = F.when((F.col("n") >= PASSAGE) & letter, F.xxhash64(_even(F.col("line"), False), F.lit(3)))
     kept = lines.select("d", *_WHO, "pos", F.when(~short, F.col("leaf")).alias("leaf"), "lh", passage.alias("passage"), (short & letter).alias("short"))
     kept = stored(kept)
     by_doc = kept.where("leaf is not null").groupBy("leaf", "d").agg(F.collect_set(F.struct("lh", *_WHO)).alias("x"))
@@ -137,10 +136,10 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
     leaves = stored(by_doc.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
     if leaves.count() <= BROADCAST_LEAVES:
         leaves = F.broadcast(leaves)
-    again = lines.where(~short).select("leaf", "lh", "w").join(leaves, "leaf", "left_semi")
+    again = lines.select("leaf", "lh", "even").join(leaves, "leaf", "left_semi")
     # a token's lowest bit says whether it has a letter
     named = F.transform("w", lambda t: F.xxhash64(t).bitwiseAND(F.lit(-2)).bitwiseOR(t.rlike(r"\p{L}").cast("long")))
-    tokens = again.groupBy("leaf", "lh").agg(F.first("w").alias("w")).select("leaf", "lh", named.alias("tokens"))
+    tokens = again.groupBy("leaf", "lh").agg(F.first("even").alias("even")).select("leaf", "lh", F.split("even", " ").alias("w")).select("leaf", "lh", named.alias("tokens"))
     bad = _recurring(by_doc.join(leaves, "leaf", "left_semi"), tokens, min_docs, fixed)
     bad = bad.union(_repeated(kept.where("short"), min_docs))
     if passages:
@@ -153,7 +152,7 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
 def drop_passages(docs: DataFrame) -> DataFrame:
     """Like :func:`drop_templates`, for nothing but equal lines of at least PASSAGE tokens, in two documents or more."""
     lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where((F.col("n") >= PASSAGE) & F.col("line").rlike(r"\p{L}"))
-    kept = stored(lines.select("d", *_WHO, "pos", F.xxhash64(tokens_of(F.col("line")), F.lit(3)).alias("lh")))
+    kept = stored(lines.select("d", *_WHO, "pos", F.xxhash64(_even(F.col("line"), False), F.lit(3)).alias("lh")))
     return _without(docs, kept, _repeated(kept, 2))
 
 
