@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.storage import shared_dir, stored
+from halyard.storage import remove, shared_dir, stored
 
 #: Six ASCII white-space characters part words; everything else belongs to a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,10 +28,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes every table that :func:`stored` wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Removes every table that :func:`stored` wrote in this application, for results that have been read."""
+    remove(spark, shared_dir(spark))
 
 
 def n_words(text: Column) -> Column:
