@@ -22,7 +22,7 @@ from halyard.operators.graph import NODE
 from halyard.storage import Files
 
 NAME = re.compile(r"[A-Za-z0-9_-]{1,64}")
-KEYS = {"generation", "rows", "live", "next_row", "next_id", "graph"}
+KEYS = {"generation", "rows", "live", "next_row", "next_id", "graph", "applied"}
 
 
 class VectorCatalog:
@@ -58,7 +58,7 @@ class VectorCatalog:
             found = json.loads(self.files.read(path))
         except Exception as e:  # noqa: BLE001  whatever the file system says of a damaged file
             raise Corrupt(f"{path} can't be read as JSON: {str(e)[:200]}") from None
-        if not isinstance(found, dict) or set(found) != KEYS or not all(isinstance(found[k], int) and found[k] >= 0 for k in KEYS - {"graph"}):
+        if not isinstance(found, dict) or set(found) != KEYS or not all(isinstance(found[k], int) and found[k] >= 0 for k in KEYS - {"graph", "applied"}) or not isinstance(found["applied"], dict):
             raise Corrupt(f"{path} does not describe a generation")
         return found
 
@@ -85,6 +85,7 @@ class VectorCatalog:
             at = self._at(name, f"generation.{current['generation']:06d}")
             rows = self.spark.read.schema(ROWS).parquet(f"{at}/rows")
             found = VectorCollection(self.spark, config, rows, current["next_row"], current["next_id"])
+            found.applied = dict(current["applied"])
             if current["graph"]:
                 found._graph = self.spark.read.schema(NODE).parquet(f"{at}/graph")
             self.open[name] = found
@@ -101,7 +102,7 @@ class VectorCatalog:
         if graph:
             collection.graph().write.parquet(f"{at}/graph")
         s = collection.stats().first()
-        manifest = {"generation": n, "rows": s["rows"], "live": s["live"], "next_row": collection.next_row, "next_id": collection.next_id, "graph": graph}
+        manifest = {"generation": n, "rows": s["rows"], "live": s["live"], "next_row": collection.next_row, "next_id": collection.next_id, "graph": graph, "applied": collection.applied}
         self.files.write(self._at(name, "MANIFEST"), json.dumps(manifest, sort_keys=True))
         del self.open[name]
         self.get(name)

@@ -11,8 +11,10 @@ METRICS = ("l2", "ip", "cosine")
 #: Largest component, as float32.
 LARGEST = 1e16
 MAX_DIM, MAX_K, MAX_BEAM = 65_536, 1 << 20, 1 << 20
-#: The id that pads short results, as a signed 64-bit integer.
+#: The id that pads short results, as a signed 64-bit integer; reserved. Ids are from 0 to 2**63 - 1.
 NO_ID = -1
+#: Rows, deleted ones included, that a collection can number.
+MAX_ROWS = (1 << 32) - 2
 
 
 def _within(name: str, value: int, least: int, most: int) -> None:

@@ -21,5 +21,13 @@ class AlreadyExists(HalyardError):
     """A collection of that name exists."""
 
 
+class CapacityExceeded(HalyardError):
+    """A collection would have more rows than it can number."""
+
+
+class Unsupported(HalyardError):
+    """A file is of a version or has values that this engine does not read."""
+
+
 class Corrupt(HalyardError):
     """A manifest, graph or file is damaged."""

@@ -77,7 +77,12 @@ def invalid_component(a: Column) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
+_DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS FLOAT), (s, x) -> s + x)"
+_NORM2 = "aggregate({0}, CAST(0 AS FLOAT), (s, x) -> s + x * x)"
 SQL_FUNCTIONS = {
+    "vector_ip_distance": f"(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS FLOAT RETURN -{_DOT} + CAST(0 AS FLOAT)",
+    "vector_cosine_distance": f"(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS FLOAT RETURN CAST(1D - CAST({_DOT} AS DOUBLE) / (sqrt(CAST({_NORM2.format('a')} AS DOUBLE)) * sqrt(CAST({_NORM2.format('b')} AS DOUBLE))) AS FLOAT)",
+    "vector_normalize": f"(a ARRAY<FLOAT>) RETURNS ARRAY<FLOAT> RETURN transform(a, x -> x * CAST(1D / sqrt(CAST({_NORM2.format('a')} AS DOUBLE)) AS FLOAT))",
     "vector_dot": "(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS FLOAT RETURN aggregate(zip_with(a, b, (x, y) -> x * y), CAST(0 AS FLOAT), (s, x) -> s + x)",
     "vector_l2sq": "(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS FLOAT RETURN aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), CAST(0 AS FLOAT), (s, x) -> s + x)",
     "vector_norm2": "(a ARRAY<FLOAT>) RETURNS FLOAT RETURN aggregate(a, CAST(0 AS FLOAT), (s, x) -> s + x * x)",

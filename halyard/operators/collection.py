@@ -28,6 +28,8 @@ class VectorCollection:
         self.rows = rows if rows is not None else spark.createDataFrame([], ROWS)
         self.next_row, self.next_id = next_row, next_id
         self._graph: DataFrame | None = None
+        #: The last batch of each stream that is part of the version.
+        self.applied: dict[str, int] = {}
 
     # --- mutations
 
@@ -43,7 +45,7 @@ class VectorCollection:
         vector = F.col("vector").cast("array<float>").alias("vector")
         batch = batch.select(F.col("id").cast("long").alias("id"), vector, F.col(order or "id").alias("sort_key"))
         batch = numbered(batch, ["sort_key", "id"], "position_in_batch").drop("sort_key")
-        n, most = check_batch(batch, self.live() if self.next_row else None, self.config, upsert)
+        n, most = check_batch(batch, self.live() if self.next_row else None, self.config, upsert, self.next_row)
         if not n:
             return 0
         unit = vectors.normalize(F.col("vector")) if self.config.normalize else F.col("vector")
@@ -91,6 +93,11 @@ class VectorCollection:
     def size(self) -> int:
         return self.live().count()
 
+    def describe(self) -> dict:
+        """Parameters, counts, and the bytes that the vectors take in memory."""
+        s = self.stats().first().asDict()
+        return s | {"dim": self.config.dim, "metric": self.config.metric, "index": self.config.index, "normalize": self.config.normalize, "vector_bytes": 4 * self.config.dim * s["rows"]}
+
     def stats(self) -> DataFrame:
         """One row (live, deleted, rows)."""
         return self.rows.agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if(F.col("deleted")).alias("deleted"), F.count("*").alias("rows"))

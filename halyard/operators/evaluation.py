@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.errors import InvalidInput
+from halyard.operators.numbering import numbered
 
 
 def recall_by_query(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -43,16 +45,28 @@ def id_overlap(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return every.select("qid", (F.coalesce("hits", F.lit(0)) / k).alias("recall"))
 
 
-def floor_percentile(values: Column, percent: float) -> Column:
-    """Aggregate: the value at place floor(percent / 100 * (n - 1)) of all, in order."""
-    at = F.floor(F.lit(percent / 100) * (F.count(values) - 1)).cast("int") + 1
-    return F.element_at(F.array_sort(F.collect_list(values)), at)
+def floor_percentile(percent: float) -> Callable[[int], int]:
+    """The rank of the value at place floor(percent / 100 * (n - 1)) of n in order, from 0."""
+    return lambda n: math.floor(percent / 100 * (n - 1)) + 1
 
 
-def nearest_rank(values: Column, percent: float) -> Column:
-    """Aggregate: the value at rank ceil(percent / 100 * n)."""
-    at = F.greatest(F.lit(1), F.ceil(F.lit(percent / 100) * F.count(values)).cast("int"))
-    return F.element_at(F.array_sort(F.collect_list(values)), at)
+def nearest_rank(percent: float) -> Callable[[int], int]:
+    """The rank ceil(percent / 100 * n) of n values."""
+    return lambda n: max(1, math.ceil(percent / 100 * n))
+
+
+def at_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[int], int]]) -> DataFrame:
+    """One row with the values of ``column`` at ``ranks``, which are functions of the number of values; null without any.
+
+    Values are sorted by range and numbered, so no task holds them all.
+    """
+    values = df.select(F.col(column).alias("value")).where("value is not null")
+    placed = numbered(values, ["value"], "rank", 1)
+    n = placed.count()
+    wanted = {name: rank(n) for name, rank in ranks.items()}
+    found = {r["rank"]: r["value"] for r in placed.where(F.col("rank").isin(sorted(set(wanted.values())))).collect()}  # one row for each rank
+    type_ = values.schema["value"].dataType.simpleString()
+    return df.sparkSession.createDataFrame([tuple(found.get(wanted[name]) for name in ranks)], ", ".join(f"{name} {type_}" for name in ranks))
 
 
 def first_beam_reaching(sweep: DataFrame, least_recall: float) -> DataFrame:
@@ -61,10 +75,11 @@ def first_beam_reaching(sweep: DataFrame, least_recall: float) -> DataFrame:
 
 
 def pareto_front(sweep: DataFrame) -> DataFrame:
-    """Rows of (recall, qps) that no other row beats in both."""
-    a, b = sweep.alias("a"), sweep.select(F.col("recall").alias("r"), F.col("qps").alias("q")).alias("b")
-    better = (F.col("r") >= F.col("recall")) & (F.col("q") >= F.col("qps")) & ((F.col("r") > F.col("recall")) | (F.col("q") > F.col("qps")))
-    return a.join(F.broadcast(b), better, "left_anti")
+    """Rows of (recall, qps) that no other row beats in both: those with the highest qps of all that have their recall or more."""
+    best = sweep.groupBy("recall").agg(F.max("qps").alias("best"))
+    above = Window.orderBy(F.desc("recall")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each recall of a sweep
+    best = best.withColumn("above", F.max("best").over(above)).where("above is null or best > above")
+    return sweep.join(best, "recall").where("qps = best").select(*sweep.columns)
 
 
 def upper_median(values: list[float]) -> float:

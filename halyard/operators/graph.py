@@ -3,7 +3,8 @@
 A shard's graph is built in insertion order by one task, so it depends on the rows and parameters
 alone. Rows are dealt to shards by their number. A search asks every shard and ranks what they
 return, so recall is at least that of one graph with the same beam. Graphs are tables, one row a node:
-(shard, node, row_id, id, vector, deleted, level, links), ``links`` holding the neighbours by level.
+(shard, node, row_id, id, vector, deleted, level, links), ``links`` holding the neighbours by level; the
+first node of a shard also has what its build counted: distances, and orphans that were linked or left.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from halyard.operators.search import CANDIDATE, query_blocks, ranked
 from halyard.operators.validation import check_queries
 from halyard.storage import stored
 
-NODE = "shard int, node int, row_id long, id long, vector array<float>, deleted boolean, level int, links array<array<int>>"
+NODE = "shard int, node int, row_id long, id long, vector array<float>, deleted boolean, level int, links array<array<int>>, computed long, repaired long, unrepaired long"
 #: Rows of a shard up to which all its distances are computed once, in memory.
 SQUARE = 4096
 
@@ -176,7 +177,7 @@ def build(rows: DataFrame, config: CollectionConfig) -> DataFrame:
         for level in random.levels(np.arange(len(v)), p.seed, p.m, p.max_level).tolist():
             graph.add(level)
         nodes = pa.array(range(len(v)), pa.int32())
-        return pa.table([table.column("shard"), nodes, table.column("row_id"), table.column("id"), table.column("vector"), table.column("deleted"), pa.array(graph.levels, pa.int32()), pa.array(graph.links, pa.list_(pa.list_(pa.int32())))], names=["shard", "node", "row_id", "id", "vector", "deleted", "level", "links"])
+        return pa.table([table.column("shard"), nodes, table.column("row_id"), table.column("id"), table.column("vector"), table.column("deleted"), pa.array(graph.levels, pa.int32()), pa.array(graph.links, pa.list_(pa.list_(pa.int32()))), *(pa.array([x] + [None] * (len(v) - 1), pa.int64()) for x in (graph.computed, graph.repaired, graph.unrepaired))], names=["shard", "node", "row_id", "id", "vector", "deleted", "level", "links", "computed", "repaired", "unrepaired"])
 
     dealt = rows.select(F.pmod(F.col("row_id"), F.lit(p.shards)).cast("int").alias("shard"), "row_id", "id", "vector", "deleted")
     return stored(dealt.groupBy("shard").applyInArrow(grow, NODE))
@@ -209,6 +210,28 @@ def _answer(sent, config: CollectionConfig, k: int, width: int):
     return answer
 
 
+def build_counters(graph: DataFrame) -> DataFrame:
+    """(shard, nodes, computed, repaired, unrepaired): what the build of each shard counted."""
+    return graph.groupBy("shard").agg(F.count("*").alias("nodes"), *(F.sum(c).alias(c) for c in ("computed", "repaired", "unrepaired")))
+
+
+def canonical(graph: DataFrame, params: GraphParams) -> DataFrame:
+    """(shard, bytes): links a node, top level, nodes, entry point and its level, then each node's level and lists, little-endian.
+
+    Equal graphs have equal bytes, however their rows are dealt.
+    """
+
+    def encode(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node").combine_chunks()
+        levels = np.array(table.column("level").to_pylist())
+        words = [np.array([params.m, int(levels.max())], "<u4").tobytes(), np.array([len(levels)], "<u8").tobytes(), np.array([int(np.argmax(levels)), int(levels.max())], "<u4").tobytes()]
+        for level, lists in zip(levels.tolist(), table.column("links").to_pylist()):
+            words.append(bytes([level]) + b"".join(np.array([len(own), *own], "<u4").tobytes() for own in lists))
+        return pa.table({"shard": table.column("shard")[:1], "bytes": pa.array([b"".join(words)], pa.binary())})
+
+    return graph.select("shard", "node", "level", "links").groupBy("shard").applyInArrow(encode, "shard int, bytes binary")
+
+
 def level_histogram(graph: DataFrame, most: int) -> DataFrame:
     """(level, n) of nodes by top level, with zeros, for levels 0 to ``most``."""
     n = graph.groupBy("level").agg(F.count("*").alias("n"))

@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.config import NO_ID, CollectionConfig, SearchParams
-from halyard.errors import InvalidInput
 from halyard.functions import kernels, vectors
 from halyard.operators.validation import check_queries
 
 #: Bytes of queries broadcast at once; rows of a partition scored at once.
 BLOCK_BYTES, ROWS = 64 << 20, 2048
-#: Queries of the expression form.
+#: Queries of a part in the forms by expressions.
 MOST_ASKED = 4096
 CANDIDATE = "qid long, row_id long, id long, distance float"
 
@@ -81,6 +80,11 @@ def exact_search(rows: DataFrame, queries: DataFrame, config: CollectionConfig,
 
     In unit modes ``rows`` hold unit vectors. All queries are checked first; one bad query fails all.
     """
+    return ranked(candidates(rows, queries, config, params, strict), params.k)
+
+
+def candidates(rows: DataFrame, queries: DataFrame, config: CollectionConfig, params: SearchParams = SearchParams(), strict: bool = True) -> DataFrame:
+    """(qid, row_id, id, distance): of each partition the k nearest rows of each query."""
     check_queries(queries, config)
     live = rows.where("not deleted").select("row_id", "id", "vector")
     spark, k, mode, dim = rows.sparkSession, params.k, config.mode, config.dim
@@ -102,20 +106,39 @@ def exact_search(rows: DataFrame, queries: DataFrame, config: CollectionConfig,
             yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.row), pa.array(best.id), pa.array(best.d)], ["qid", "row_id", "id", "distance"])
 
         found.append(live.mapInArrow(scan, CANDIDATE))
-    if not found:
-        return ranked(spark.createDataFrame([], CANDIDATE), k)
-    return ranked(reduce(DataFrame.union, found), k)
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], CANDIDATE)
 
 
-def search_expression(rows: DataFrame, queries: DataFrame, config: CollectionConfig, k: int) -> DataFrame:
-    """The same result as plain expressions, for at most MOST_ASKED queries: they are broadcast, and each meets every row."""
-    if queries.limit(MOST_ASKED + 1).count() > MOST_ASKED:
-        raise InvalidInput(f"more than {MOST_ASKED} queries; use exact_search")
+def _parts(queries: DataFrame, config: CollectionConfig) -> list[DataFrame]:
+    """``queries`` with their inverse norms, in parts small enough to broadcast."""
     inverse = vectors.inverse_norm(F.col("query")) if config.normalize else F.lit(1.0).cast("float")
-    q = queries.select("qid", "query", inverse.alias("inverse"))
+    asked = queries.select("qid", "query", inverse.alias("inverse"))
+    n = -(-queries.count() // max(1, min(MOST_ASKED, BLOCK_BYTES // (4 * config.dim))))
+    return [asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)] if n > 1 else [asked]
+
+
+def search_expression(rows: DataFrame, queries: DataFrame, config: CollectionConfig, k: int) -> DataFrame:
+    """The same result as plain expressions: parts of the queries are broadcast, and each query meets every row."""
     live = rows.where("not deleted").select("row_id", "id", "vector")
-    met = live.join(F.broadcast(q))
-    return ranked(met.select("qid", "row_id", "id", vectors.score(config.mode, F.col("query"), F.col("inverse"), F.col("vector")).alias("distance")), k)
+    distance = vectors.score(config.mode, F.col("query"), F.col("inverse"), F.col("vector")).alias("distance")
+    met = [live.join(F.broadcast(q)).select("qid", "row_id", "id", distance) for q in _parts(queries, config)]
+    return ranked(reduce(DataFrame.union, met), k)
+
+
+def search_lateral(rows: DataFrame, queries: DataFrame, config: CollectionConfig, k: int) -> DataFrame:
+    """The same result by a correlated subquery: for each query the k nearest rows of a lateral join, parts of the queries at a time."""
+    live = rows.where("not deleted").select("row_id", "id", "vector")
+    distance = vectors.score(config.mode, F.col("query").outer(), F.col("inverse").outer(), F.col("vector")).alias("distance")
+    near = live.select("row_id", "id", distance).orderBy("distance", "row_id").limit(k)
+    found = [q.lateralJoin(near).select("qid", "row_id", "id", "distance") for q in _parts(queries, config)]
+    return ranked(reduce(DataFrame.union, found), k)
+
+
+def ranked_by_slice(candidates: DataFrame, k: int) -> DataFrame:
+    """Like :func:`ranked`, by sorting all candidates of a query and slicing; for as many candidates as a row may hold."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "row_id", "id"))), 1, k)
+    found = candidates.groupBy("qid").agg(best.alias("best")).select("qid", F.posexplode("best").alias("at", "x"))
+    return found.select("qid", (F.col("at") + 1).alias("rank"), "x.id", "x.distance")
 
 
 def padded(results: DataFrame, queries: DataFrame, k: int) -> DataFrame:

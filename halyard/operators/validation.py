@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.config import LARGEST, CollectionConfig
-from halyard.errors import DuplicateId, InvalidInput
+from halyard.config import LARGEST, MAX_ROWS, NO_ID, CollectionConfig
+from halyard.errors import CapacityExceeded, DuplicateId, InvalidInput
 from halyard.functions import vectors
 
 
@@ -44,25 +44,30 @@ def check_queries(queries: DataFrame, config: CollectionConfig) -> None:
         raise InvalidInput(f"query {worst['qid']}: {worst['problem']}")
 
 
-def check_batch(rows: DataFrame, live: DataFrame | None, config: CollectionConfig, upsert: bool) -> tuple[int, int]:
+def check_batch(rows: DataFrame, live: DataFrame | None, config: CollectionConfig, upsert: bool, held: int = 0) -> tuple[int, int]:
     """(number of rows, largest id) of a batch (position_in_batch, id, vector), or raises for the first broken rule.
 
-    In the order of the rules: lengths and components, duplicate ids, null ids, norms, then ids that are
-    live already. One aggregate sees all but the last; ``live`` is None where nothing is.
+    In the order of the rules: lengths and components, ids that stand twice in the batch, null, reserved and negative
+    ids, norms, ids that are live already, then the capacity of a collection that ``held`` rows. One aggregate
+    sees all but the ids that are live; ``live`` is None where nothing is.
     """
     bad = F.when(F.col("code").isNotNull(), F.struct((F.col("code") == 3).alias("norm"), "position_in_batch", "problem"))
-    s = _judged(rows, "vector", config).agg(F.count("*").alias("n"), F.max("id").alias("most"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count_distinct("id").alias("ids"), F.min(bad).alias("bad")).first()
+    s = _judged(rows, "vector", config).agg(F.count("*").alias("n"), F.max("id").alias("most"), F.min("id").alias("lowest"), F.count_if(F.col("id").isNull()).alias("nulls"), F.count_distinct("id").alias("ids"), F.min(bad).alias("bad")).first()
     if s["bad"] and not s["bad"]["norm"]:
         raise InvalidInput(f"row {s['bad']['position_in_batch']}: {s['bad']['problem']}")
     if s["ids"] + s["nulls"] < s["n"]:
         twice = duplicate_ids(rows.where("id is not null")).orderBy("id").first()
-        raise DuplicateId(f"id {twice['id']} stands {twice['n']} times in the batch")
+        raise InvalidInput(f"id {twice['id']} stands {twice['n']} times in the batch")
     if s["nulls"]:
         raise InvalidInput("an id is null")
+    if s["n"] and s["lowest"] < 0:
+        raise InvalidInput(f"id {NO_ID} is reserved" if s["lowest"] == NO_ID else f"id {s['lowest']} is below 0")
     if s["bad"]:
         raise InvalidInput(f"row {s['bad']['position_in_batch']}: {s['bad']['problem']}")
     if s["n"] and not upsert and live is not None:
         known = existing_ids(rows, live).orderBy("position_in_batch").first()
         if known:
             raise DuplicateId(f"id {known['id']} exists already")
+    if held + s["n"] > MAX_ROWS:
+        raise CapacityExceeded(f"{s['n']} rows more than the {MAX_ROWS} that a collection can hold")
     return s["n"], s["most"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.catalog import VectorCatalog
@@ -17,8 +17,10 @@ from halyard.config import CollectionConfig, GraphParams, SearchParams
 from halyard.functions import random, vectors
 from halyard.operators import evaluation, graph, validation
 from halyard.operators.collection import VectorCollection
-from halyard.operators.search import counts, exact_search, padded, search_expression
-from halyard.sources import matrices, synthetic
+from halyard.operators.numbering import numbered
+from halyard.errors import HalyardError, InvalidInput
+from halyard.operators.search import candidates, counts, exact_search, padded, ranked_by_slice, search_expression, search_lateral
+from halyard.sources import bodies, indexfile, matrices, synthetic
 from halyard.storage import shared_dir, stored
 from halyard.streaming.ingest import Ingest
 
@@ -126,6 +128,20 @@ def knn_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_expression(_rows(base), _asked(base), CollectionConfig(DIM), K)
 
 
+@query("knn_lateral", _knn("cosine_unit", _SCALED))
+def knn_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search as a correlated subquery for each query."""
+    base = _base(spark, sf_dir, scaled=True)
+    return search_lateral(_rows(base, unit=True), _asked(base), CollectionConfig(DIM, "cosine"), K)
+
+
+@query("knn_sorted_slice", _knn("l2", _RAW))
+def knn_sorted_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking by a sorted slice, over the candidates that the block search leaves of each partition."""
+    base = _base(spark, sf_dir)
+    return ranked_by_slice(candidates(_rows(base), _asked(base), CollectionConfig(DIM), SearchParams(K)), K)
+
+
 _TIES = """WITH base AS (SELECT l_orderkey * 10 + l_linenumber AS id, [l_quantity::FLOAT, (l_discount * 100)::FLOAT, (l_tax * 100)::FLOAT] AS vector FROM lineitem),
 q AS (SELECT DISTINCT l_quantity::BIGINT AS qid, [l_quantity::FLOAT, 5::FLOAT, 4::FLOAT] AS query FROM lineitem)"""
 
@@ -226,7 +242,8 @@ def auto_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids by the collection's counter, in the order of a column."""
     c = VectorCollection(spark, CollectionConfig(DIM))
     c.add_batch(_base(spark, sf_dir).select("vector", F.col("id").alias("tag")), order="tag")
-    return c.rows.select("id", F.col("row_id").alias("at")).join(_embeddings(spark, sf_dir).select("vec_id", F.row_number().over(Window.orderBy("vec_id")).alias("n")), F.col("at") == F.col("n") - 1).select("id", F.col("vec_id").alias("tag"))
+    tags = numbered(_embeddings(spark, sf_dir).select(F.col("vec_id").alias("tag")), ["tag"], "at")
+    return c.rows.select("id", F.col("row_id").alias("at")).join(tags, "at").select("id", "tag")
 
 
 @query("live_count", "SELECT count(*) AS n FROM embeddings")
@@ -349,8 +366,14 @@ def recall_id_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_percentiles", "SELECT list_sort(list(value))[floor(0.5 * (count(value) - 1))::INT + 1] AS p50, list_sort(list(value))[floor(0.99 * (count(value) - 1))::INT + 1] AS p99, list_sort(list(value))[greatest(1, ceil(0.95 * count(value)))::INT] AS rank95 FROM events")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(evaluation.floor_percentile(v, 50).alias("p50"), evaluation.floor_percentile(v, 99).alias("p99"), evaluation.nearest_rank(v, 95).alias("rank95"))
+    ranks = {"p50": evaluation.floor_percentile(50), "p99": evaluation.floor_percentile(99), "rank95": evaluation.nearest_rank(95)}
+    return evaluation.at_ranks(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", ranks)
+
+
+@query("sweep_pareto", "SELECT s.* FROM (SELECT c_nationkey AS recall, c_custkey AS qps FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer t WHERE t.c_nationkey >= s.recall AND t.c_custkey >= s.qps AND (t.c_nationkey > s.recall OR t.c_custkey > s.qps))")
+def sweep_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that no other beats in both of two measures."""
+    return evaluation.pareto_front(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("recall"), F.col("c_custkey").alias("qps")))
 
 
 # --- graphs
@@ -435,13 +458,32 @@ def hnsw_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unreachable(_graph(spark, sf_dir)[0]).agg(F.sum("n").alias("unreachable"))
 
 
+@query("hnsw_build_counters", "SELECT s.shard::INT AS shard, count(e.vec_id) AS nodes, true AS computed, 0::BIGINT AS unrepaired FROM range(8) s(shard) LEFT JOIN embeddings e ON e.vec_id % 8 = s.shard GROUP BY s.shard HAVING count(e.vec_id) > 0")
+def hnsw_build_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the build of each shard counted: distances were computed, and no node stayed without a link."""
+    return graph.build_counters(_graph(spark, sf_dir)[0]).select("shard", "nodes", (F.col("computed") > F.col("nodes")).alias("computed"), "unrepaired")
+
+
+@query("hnsw_canonical", "SELECT (vec_id % 8)::INT AS shard, true AS equal FROM embeddings GROUP BY 1")
+def hnsw_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two builds, of rows dealt in different ways, have the same canonical bytes."""
+    one, _, config = _graph(spark, sf_dir)
+    other = graph.build(_rows(_base(spark, sf_dir).repartition(7)), config)
+    found = [graph.canonical(g, config.graph).select("shard", F.sha2("bytes", 256).alias(name)) for g, name in ((one, "a"), (other, "b"))]
+    return found[0].join(found[1], "shard").select("shard", (F.col("a") == F.col("b")).alias("equal"))
+
+
 # --- sources, storage, streaming
 
 
 def _file(spark: SparkSession, suffix: str) -> str:
+    """A path in the shared folder for a file that is opened by its path, which the folder has to allow."""
     import os
 
-    at = shared_dir(spark).removeprefix("file://")
+    at = shared_dir(spark)
+    if "://" in at and not at.startswith("file://"):
+        raise InvalidInput("matrix and index files need a shared folder that is mounted")
+    at = "/" + at.removeprefix("file:").lstrip("/")
     os.makedirs(at, exist_ok=True)
     return f"{at}/{uuid.uuid4().hex}.{suffix}"
 
@@ -467,6 +509,83 @@ def ivecs_truth_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(matrices.read_matrix(spark, path).select((F.col("row") * 20).alias("qid"), "vector"), "qid", "vector")
 
 
+@query("ids_roundtrip", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id AS id FROM embeddings")
+def ids_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External ids, written as a one-dimensional file and read again."""
+    path = _file(spark, "npy")
+    matrices.save_matrix(_embeddings(spark, sf_dir).select("vec_id", F.array("vec_id").alias("ids")), path, "vec_id", "ids", "<i8")
+    return matrices.read_ids(spark, path)
+
+
+_GONE = "SELECT row_id, id, vector FROM base WHERE id % 3 <> 0"
+
+
+@query("index_file_knn", _knn("cosine_unit", _SCALED, K, _GONE))
+def index_file_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection with deleted rows, written as an index file, read again with all checks, and searched."""
+    base, config = _base(spark, sf_dir, scaled=True), CollectionConfig(DIM, "cosine")
+    rows = _rows(base, unit=True).withColumn("deleted", F.col("id") % 3 == 0)
+    # a file numbers its rows from 0
+    path, rows = _file(spark, "index"), numbered(rows.drop("row_id"), ["id"], "row_id")
+    indexfile.write_index(rows, config, path)
+    return exact_search(indexfile.read_index(spark, path)[1], _asked(base), config, SearchParams(K))
+
+
+@query("index_file_graph", "SELECT true AS equal, true AS same_bytes")
+def index_file_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a graph that goes through an index file keeps its canonical bytes, and a second file has those of the first."""
+    config = CollectionConfig(DIM, index="hnsw", graph=GraphParams(ef_construction=40, shards=1))
+    rows = numbered(_rows(_base(spark, sf_dir)).drop("row_id"), ["id"], "row_id")
+    g, paths = graph.build(rows, config), [_file(spark, "index") for _ in range(2)]
+    indexfile.write_index(rows, config, paths[0], g)
+    meta, again, h = indexfile.read_index(spark, paths[0])
+    indexfile.write_index(again, meta.config, paths[1], h)
+    digest = lambda g: graph.canonical(g, config.graph).select(F.sha2("bytes", 256)).first()[0]
+    same = [open(p, "rb").read() for p in paths]
+    return spark.createDataFrame([(digest(g) == digest(h), same[0] == same[1])], "equal boolean, same_bytes boolean")
+
+
+@query("checksum_values", "SELECT * FROM (VALUES ('123456789', 3808858755::BIGINT), ('', 0::BIGINT), ('a', 3251651376::BIGINT)) t(text, crc32c)")
+def checksum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32C of published check values."""
+    return spark.createDataFrame([(t, indexfile.crc32c(t.encode())) for t in ("123456789", "", "a")], "text string, crc32c long")
+
+
+@query("packed_bodies", _sql_components("id", "vector", _RAW))
+def packed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors packed into request bodies, one for each label, and decoded again."""
+
+    def pack(table):
+        import numpy as np
+        import pyarrow as pa
+
+        body = bodies.pack(np.array(table.column("vec_id").to_pylist()), np.array(table.column("embedding").to_pylist(), np.float32))
+        return pa.table({"content": pa.array([body], pa.binary())})
+
+    packed = _embeddings(spark, sf_dir).groupBy("label").applyInArrow(pack, "content binary")
+    return _components(bodies.packed_vectors(packed), "id", "vector")
+
+
+@query("batch_rules", "SELECT * FROM (VALUES ('sound', 'added 2'), ('twice', 'InvalidInput'), ('reserved', 'InvalidInput'), ('negative', 'InvalidInput'), ('null', 'InvalidInput'), ('short', 'InvalidInput'), ('exists', 'DuplicateId'), ('upsert', 'added 1')) t(batch, outcome)")
+def batch_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of batches that break a rule, in a collection that has id 1."""
+    c, out = VectorCollection(spark, CollectionConfig(2)), []
+    cases = [("sound", [(1, [1.0, 2.0]), (2, [0.0, 1.0])]), ("twice", [(5, [1.0, 2.0])] * 2), ("reserved", [(-1, [1.0, 2.0])]), ("negative", [(-7, [1.0, 2.0])]), ("null", [(None, [1.0, 2.0])]), ("short", [(6, [1.0])]), ("exists", [(1, [1.0, 2.0])]), ("upsert", [(1, [3.0, 2.0])])]
+    for name, rows in cases:
+        try:
+            outcome = f"added {c.add_batch(spark.createDataFrame(rows, 'id long, vector array<float>'), upsert=name == 'upsert')}"
+        except HalyardError as e:
+            outcome = type(e).__name__
+        out.append((name, outcome))
+    return spark.createDataFrame(out, "batch string, outcome string")
+
+
+@query("vector_sql_distances", f"SELECT a.vec_id, (-{_dot('a.embedding', 'b.embedding')} + 0::FLOAT)::FLOAT AS ip, (1.0::DOUBLE - {_dot('a.embedding', 'b.embedding')}::DOUBLE / (sqrt({_dot('a.embedding', 'a.embedding')}::DOUBLE) * sqrt({_dot('b.embedding', 'b.embedding')}::DOUBLE)))::FLOAT AS cosine, (a.embedding[1] * {_inverse('a.embedding')})::FLOAT AS first {_NEXT}")
+def vector_sql_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors.register(spark)
+    return _pairs(spark, sf_dir).selectExpr("vec_id", "vector_ip_distance(a, b) AS ip", "vector_cosine_distance(a, b) AS cosine", "vector_normalize(a)[0] AS first")
+
+
 @query("synthetic_mixture")
 def synthetic_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many seeded vectors as there are embeddings."""

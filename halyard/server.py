@@ -9,6 +9,7 @@ from __future__ import annotations
 import hmac
 import json
 import re
+import sys
 import threading
 import time
 import uuid
@@ -19,13 +20,13 @@ from urllib.parse import parse_qs, urlsplit
 from halyard import __version__
 from halyard.catalog import VectorCatalog
 from halyard.config import CollectionConfig, GraphParams
-from halyard.errors import AlreadyExists, Corrupt, DuplicateId, InvalidInput, NotFound
+from halyard.errors import AlreadyExists, CapacityExceeded, Corrupt, DuplicateId, InvalidInput, NotFound, Unsupported
 from halyard.sources.bodies import unpack
 
 #: Limits of a request; beyond those after the first the answer is 422.
 MAX_BODY, MAX_BATCH, MAX_K, MAX_BEAM, MAX_DIM, MAX_DEPTH = 64 << 20, 10_000, 1_000, 4_096, 65_536, 8
 #: Upper bounds of the time histogram, in seconds.
-TIMES = (0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1, 5, 10, 60)
+TIMES = (0.00005, 0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
 class Refused(Exception):
@@ -66,6 +67,16 @@ def limit(name: str, value, most: int) -> int:
     return value
 
 
+def logfmt(level: str, event: str, **fields) -> str:
+    """One line of key=value pairs; values with spaces, quotes, equals signs or control characters are quoted."""
+    def value(x) -> str:
+        text = str(x)
+        return text if re.fullmatch(r'[^\s"=\\\x00-\x1f]+', text) else json.dumps(text, ensure_ascii=False)
+
+    stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime())
+    return " ".join([f"time={stamp}Z", f"level={level}", f"event={value(event)}", *(f"{k}={value(v)}" for k, v in fields.items())])
+
+
 class Service:
     """What the routes do; each returns (status, answer)."""
 
@@ -73,8 +84,28 @@ class Service:
         self.catalog, self.token, self.began, self.ready = catalog, token, time.time(), True
         self.locks: dict[str, threading.Lock] = {}
         self.counts: Counter = Counter()
-        self.times = [0] * (len(TIMES) + 1)
-        self.guard = threading.Lock()
+        self.times, self.seconds, self.running = [0] * (len(TIMES) + 1), 0.0, 0
+        self.guard = threading.Condition()
+        self.log = lambda line: print(line, file=sys.stderr, flush=True)
+
+    def stop(self, most: float = 30.0) -> bool:
+        """Refuses new requests and waits for those that run, ``most`` seconds; whether all have ended."""
+        self.ready = False
+        with self.guard:
+            return self.guard.wait_for(lambda: not self.running, most)
+
+    def began_one(self) -> None:
+        with self.guard:
+            self.running += 1
+
+    def ended_one(self, method: str, route: str, status: int, took: float, request: str) -> None:
+        with self.guard:
+            self.running -= 1
+            self.counts[method, route, status // 100] += 1
+            self.times[next((i for i, b in enumerate(TIMES) if took <= b), len(TIMES))] += 1
+            self.seconds += took
+            self.guard.notify_all()
+        self.log(logfmt("error" if status >= 500 else "info", "request", method=method, route=route, status=status, ms=round(1000 * took, 3), request_id=request))
 
     def _lock(self, name: str) -> threading.Lock:
         with self.guard:
@@ -94,12 +125,13 @@ class Service:
         return 200, {"version": __version__, "uptime_s": round(time.time() - self.began, 3), "collections": len(self.catalog.names()), "spark": self.catalog.spark.version}
 
     def metrics(self, **_):
-        lines = [f'http_requests_total{{status="{s}"}} {n}' for s, n in sorted(self.counts.items())]
+        lines = [f'http_requests_total{{method="{m}",route="{r}",status="{s}xx"}} {n}' for (m, r, s), n in sorted(self.counts.items())]
         total = 0
         for bound, n in zip((*TIMES, "+Inf"), self.times):
             total += n
             lines.append(f'http_request_seconds_bucket{{le="{bound}"}} {total}')
-        return 200, "\n".join([*lines, f"http_request_seconds_count {total}", ""])
+        lines += [f"http_request_seconds_sum {self.seconds:.6f}", f"http_request_seconds_count {total}", f"http_requests_running {self.running}", f"uptime_seconds {time.time() - self.began:.3f}"]
+        return 200, "\n".join([*lines, ""])
 
     def create(self, body, **_):
         body = fields(body, {"name", "dim", "metric", "normalize", "index"}, {"name", "dim"})
@@ -137,7 +169,11 @@ class Service:
         rows = [fields(r, {"id", "vector"}, {"id", "vector"}) for r in body["vectors"]]
         if any(not isinstance(r["id"], int) or isinstance(r["id"], bool) or r["id"] < 0 for r in rows):
             raise Refused(400, "INVALID_ARGUMENT", "ids are integers from 0")
-        return self._insert(name, [(r["id"], vector_of(r["vector"], dim)) for r in rows], body.get("upsert") is True)
+        if any(r["id"] >= 1 << 63 for r in rows):
+            raise Refused(400, "INVALID_ARGUMENT", "ids are below 2**63")
+        if not isinstance(body.get("upsert", False), bool):
+            raise Refused(400, "INVALID_ARGUMENT", "upsert is true or false")
+        return self._insert(name, [(r["id"], vector_of(r["vector"], dim)) for r in rows], body.get("upsert", False))
 
     def bulk(self, name, raw, query, **_):
         ids, rows = unpack(raw)
@@ -178,7 +214,7 @@ class Service:
         return 200, {"results": out, "took_ms": took}
 
     def stats(self, name, **_):
-        s = self.catalog.get(name).stats().first().asDict()
+        s = self.catalog.get(name).describe()
         return 200, s | {"deleted_ratio": s["deleted"] / s["rows"] if s["rows"] else 0.0}
 
     def snapshot(self, name, **_):
@@ -215,7 +251,13 @@ ROUTES = [
     ("POST", _ONE + r"/compact", "compact"),
 ]
 #: Errors of the engine as (status, code).
-ERRORS = [(DuplicateId, 409, "ALREADY_EXISTS"), (AlreadyExists, 409, "ALREADY_EXISTS"), (NotFound, 404, "NOT_FOUND"), (InvalidInput, 400, "INVALID_ARGUMENT"), (Corrupt, 500, "CORRUPT_DATA")]
+ERRORS = [(DuplicateId, 409, "ALREADY_EXISTS"), (AlreadyExists, 409, "ALREADY_EXISTS"), (NotFound, 404, "NOT_FOUND"), (InvalidInput, 400, "INVALID_ARGUMENT"), (CapacityExceeded, 507, "RESOURCE_EXHAUSTED"), (Unsupported, 500, "UNSUPPORTED_VERSION"), (Corrupt, 500, "CORRUPT_DATA")]
+
+
+def route_of(method: str, target: str) -> str:
+    """The name of a request's route, for counters and the log."""
+    path = urlsplit(target).path
+    return next((name for m, pattern, name in ROUTES if m == method and re.fullmatch(pattern, path)), "unmatched")
 
 
 def answer(service: Service, method: str, target: str, headers, read) -> tuple[int, object]:
@@ -264,21 +306,22 @@ def serve(catalog: VectorCatalog, port: int = 0, host: str = "127.0.0.1", token:
 
         def handle_any(self):
             began = time.time()
+            service.began_one()
             body = lambda: self.rfile.read(int(self.headers.get("Content-Length") or 0))
             status, out = answer(service, self.command, self.path, self.headers, body)
             text = isinstance(out, str)
             raw = (out if text else json.dumps(out)).encode()
             given = self.headers.get("X-Request-Id", "")
+            given = given if re.fullmatch(r"[\x21-\x7e]{1,128}", given) else uuid.uuid4().hex
             self.send_response(status)
             self.send_header("Content-Type", "text/plain" if text else "application/json")
             self.send_header("Content-Length", str(len(raw)))
-            self.send_header("X-Request-Id", given if re.fullmatch(r"[\x21-\x7e]{1,128}", given) else uuid.uuid4().hex)
+            self.send_header("X-Request-Id", given)
             self.end_headers()
-            self.wfile.write(raw)
-            took = time.time() - began
-            with service.guard:
-                service.counts[status] += 1
-                service.times[next((i for i, b in enumerate(TIMES) if took <= b), len(TIMES))] += 1
+            try:
+                self.wfile.write(raw)
+            finally:
+                service.ended_one(self.command, route_of(self.command, self.path), status, time.time() - began, given)
 
         do_GET = do_POST = do_DELETE = do_PUT = handle_any
 

@@ -33,7 +33,10 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     dim, n = struct.unpack("<IQ", body[4:16])
     if dim == 0 or len(body) != 16 + n * (8 + 4 * dim):
         raise InvalidInput("length of a packed body")
-    return np.frombuffer(body, "<u8", n, 16), np.frombuffer(body, "<f4", n * dim, 16 + 8 * n).reshape(n, dim)
+    ids = np.frombuffer(body, "<u8", n, 16)
+    if (ids > (1 << 63) - 1).any():
+        raise InvalidInput(f"id {int(ids.max())} is reserved or above {(1 << 63) - 1}")
+    return ids, np.frombuffer(body, "<f4", n * dim, 16 + 8 * n).reshape(n, dim)
 
 
 def pack(ids: np.ndarray, rows: np.ndarray) -> bytes:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.errors import InvalidInput
+
+_cleaned: set[str] = set()
+
 
 class Files:
     """The few file operations that catalogs need, on any file system that Spark can reach."""
@@ -51,11 +56,31 @@ class Files:
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of this application below spark.checkpoint.dir, removed when Python ends.
+
+    Where that is unset, a temporary folder will do if all of Spark is one process; on a cluster, whose
+    machines would each write to their own disk, it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise InvalidInput("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="halyard-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found}/halyard-{spark.sparkContext.applicationId}"
+    path = f"{found}/halyard-{spark.sparkContext.applicationId}"
+    if path not in _cleaned:
+        _cleaned.add(path)
+        atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes ``path`` if Spark still runs; what a stopped Spark leaves is its administrator's to clean."""
+    try:
+        Files(spark, path).delete(path)
+    except Exception:  # noqa: BLE001  the JVM is gone
+        pass
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -57,7 +57,9 @@ def test_empty_collection(spark):
         ([(1, [float("nan")])], InvalidInput, "NaN"),
         ([(1, [float("inf")])], InvalidInput, "infinite"),
         ([(1, [1e17])], InvalidInput, "larger"),
-        ([(1, [1]), (1, [2])], DuplicateId, "2 times"),
+        ([(1, [1]), (1, [2])], InvalidInput, "2 times"),
+        ([(-1, [1])], InvalidInput, "reserved"),
+        ([(-5, [1])], InvalidInput, "below 0"),
         ([(7, [1]), (100, [2])], DuplicateId, "100 exists"),
     ],
 )

@@ -39,8 +39,9 @@ def test_overlap_has_no_tie_tolerance(spark):
 
 def test_percentiles_and_sweeps(spark):
     df = spark.createDataFrame([(float(i),) for i in (5, 1, 4, 2, 3)], "x double")
-    got = df.agg(evaluation.floor_percentile(df.x, 50), evaluation.floor_percentile(df.x, 99), evaluation.nearest_rank(df.x, 50), evaluation.nearest_rank(df.x, 0)).first()
-    assert tuple(got) == (3, 4, 3, 1)
+    ranks = {"a": evaluation.floor_percentile(50), "b": evaluation.floor_percentile(99), "c": evaluation.nearest_rank(50), "d": evaluation.nearest_rank(0)}
+    assert tuple(evaluation.at_ranks(df.union(spark.createDataFrame([(None,)], "x double")), "x", ranks).first()) == (3, 4, 3, 1)
+    assert tuple(evaluation.at_ranks(df.limit(0), "x", ranks).first()) == (None,) * 4
     sweep = spark.createDataFrame([(16, 0.8, 9.0), (32, 0.95, 7.0), (64, 0.95, 5.0), (128, 0.99, 2.0)], "ef int, recall double, qps double")
     assert evaluation.first_beam_reaching(sweep, 0.9).first()["ef"] == 32
     assert {r["ef"] for r in evaluation.pareto_front(sweep).collect()} == {16, 32, 128}
