@@ -72,6 +72,24 @@ def scores(mode: str, queries: np.ndarray, inverse: np.ndarray, rows: np.ndarray
     return -out + np.float32(0)
 
 
+def pairs(mode: str, queries: np.ndarray, inverse: np.ndarray, rows: np.ndarray, strict: bool = True) -> np.ndarray:
+    """Distance of each query to the row beside it, added in order if ``strict``."""
+    term = rows - queries if mode == "l2" else rows * queries
+    if mode == "l2":
+        term *= term
+    out = np.add.accumulate(term, axis=1)[:, -1] + np.float32(0) if strict else term.sum(1)
+    if mode == "l2":
+        return out
+    if mode == "ip":
+        return -out + np.float32(0)
+    out = out * inverse
+    if mode == "cosine_unit":
+        return np.maximum(np.float32(0), np.float32(1) - out)
+    if mode == "l2_unit":
+        return np.maximum(np.float32(0), np.float32(2) - np.float32(2) * out)
+    return -out + np.float32(0)
+
+
 def smallest(distances: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) places of the ``k`` smallest of each row of ``distances``, ties by ``order``."""
     n = distances.shape[1]

@@ -28,6 +28,7 @@ class VectorCollection:
         self.rows = rows if rows is not None else spark.createDataFrame([], ROWS)
         self.next_row, self.next_id = next_row, next_id
         self._graph: DataFrame | None = None
+        self._packed: tuple[DataFrame, DataFrame] | None = None
         #: The last batch of each stream that is part of the version.
         self.applied: dict[str, int] = {}
 
@@ -124,7 +125,9 @@ class VectorCollection:
         params = SearchParams(k, ef_search)
         queries = queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<float>").alias("query"))
         if self.config.index == "hnsw":
-            return graphs.graph_search(self.graph(), queries, self.config, params)
+            if self._packed is None or self._packed[0] is not self.graph():
+                self._packed = self.graph(), graphs.packed(self.graph(), self.config)
+            return graphs.graph_search(self._packed[1], queries, self.config, params)
         return exact_search(self.rows, queries, self.config, params, strict)
 
     def search_padded(self, queries: DataFrame, k: int = 10, ef_search: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,18 @@
 """Approximate search by layered proximity graphs, one for each shard of the rows.
 
-A shard's graph is built in insertion order by one task, so it depends on the rows and parameters
-alone. Rows are dealt to shards by their number. A search asks every shard and ranks what they
-return, so recall is at least that of one graph with the same beam. Graphs are tables, one row a node:
-(shard, node, row_id, id, vector, deleted, level, links), ``links`` holding the neighbours by level; the
-first node of a shard also has what its build counted: distances, and orphans that were linked or left.
+A shard's graph is built by one task in insertion order, in batches: the nodes of a batch search the graph
+that stands together, see the ones before them in the batch, choose their links, and link back. The
+result depends on the rows and parameters alone. Rows are dealt to shards by their number. A search asks every
+shard and ranks what they return, so recall is at least that of one graph with the same beam. All
+searches of a block advance together, so a step is a few operations on arrays.
+
+Graphs are tables, one row a node: (shard, node, row_id, id, vector, deleted, level, links), ``links`` holding
+the neighbours by level; the first node of a shard also has what its build counted: distances, and orphans
+that were linked or left. For searches a shard is packed into one row of flat arrays, once for a graph.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,11 @@ from halyard.operators.validation import check_queries
 from halyard.storage import stored
 
 NODE = "shard int, node int, row_id long, id long, vector array<float>, deleted boolean, level int, links array<array<int>>, computed long, repaired long, unrepaired long"
-#: Rows of a shard up to which all its distances are computed once, in memory.
-SQUARE = 4096
+PACKED = "shard int, n long, row_ids binary, ids binary, vectors binary, deleted binary, levels binary, links binary"
+#: Nodes of a batch; queries that advance together; marks of visited nodes, in bytes; vectors of a shard, in bytes.
+BATCH, TOGETHER, VISITED, SHARD_BYTES = 256, 256, 64 << 20, 1 << 29
+#: Key of nothing; keys order by distance, then by node; the lowest bit tells whether the node was expanded.
+NONE = np.int64((1 << 63) - 1)
 
 
 def select_neighbours(candidates: list[tuple[float, int]], most: int, between, heuristic: bool = True, keep_pruned: bool = True) -> list[tuple[float, int]]:
@@ -48,164 +54,329 @@ def select_neighbours(candidates: list[tuple[float, int]], most: int, between, h
     return taken + pruned[: most - len(taken)] if keep_pruned else taken
 
 
-class Graph:
-    """Nodes 0, 1, ... of one shard over its vectors; grows by :meth:`add`."""
-
-    def __init__(self, vectors: np.ndarray, mode: str, params: GraphParams, strict: bool = True, square: bool = True):
-        self.v, self.mode, self.params, self.strict = vectors, mode, params, strict
-        self.one = np.ones(len(vectors), np.float32)
-        self.square = self._to_all(vectors) if square and len(vectors) <= SQUARE else None
-        self.levels: list[int] = []
-        self.links: list[list[list[int]]] = []
-        self.entry = -1
-        self.computed = self.repaired = self.unrepaired = 0
+def keys_of(d: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """(distance, node) as integers of the same order."""
+    bits = (d.astype(np.float32) + np.float32(0)).view(np.int32)
+    return ((bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) << 32) | (nodes.astype(np.int64) << 1)
+
+
+def nodes_of(keys: np.ndarray) -> np.ndarray:
+    """The nodes of keys; -1 for none."""
+    return np.where(keys == NONE, -1, (keys & 0xFFFFFFFF) >> 1)
 
-    def _to_all(self, q: np.ndarray) -> np.ndarray:
-        return np.concatenate([kernels.scores(self.mode, q[i : i + 512], np.ones(len(q[i : i + 512]), np.float32), self.v, self.strict) for i in range(0, len(q), 512)])
 
-    def from_node(self, node: int):
-        """Distances from a node to a list of nodes."""
-        if self.square is not None:
-            row = self.square[node]
-            return lambda nodes: row[nodes]
-        return lambda nodes: kernels.scores(self.mode, self.v[node : node + 1], self.one[:1], self.v[nodes], self.strict)[0]
+def distances_of(keys: np.ndarray) -> np.ndarray:
+    bits = (keys >> 32).astype(np.int32)
+    return np.where(keys == NONE, np.float32(np.inf), (bits ^ ((bits >> 31) & 0x7FFFFFFF)).view(np.float32))
 
-    def from_query(self, query: np.ndarray, inverse: np.float32):
-        return lambda nodes: kernels.scores(self.mode, query[None], np.array([inverse], np.float32), self.v[nodes], self.strict)[0]
 
-    def between(self, a: int, b: int) -> float:
-        return float(self.from_node(a)([b])[0])
+class Graph:
+    """Nodes 0, 1, ... of one shard over its vectors. The links of a level are rows of node numbers, -1 where there is room."""
+
+    def __init__(self, vectors: np.ndarray, levels: np.ndarray, mode: str, params: GraphParams, strict: bool = True):
+        self.v, self.levels, self.mode, self.params, self.strict = vectors, levels, mode, params, strict
+        n = len(vectors)
+        members = [np.flatnonzero(levels >= at) for at in range(int(levels.max(initial=0)) + 1)]
+        self.place = [np.full(n, -1, np.int32) for _ in members]
+        for place, own in zip(self.place, members):
+            place[own] = np.arange(len(own))
+        self.links = [np.full((len(own), self.room(at)), -1, np.int32) for at, own in enumerate(members)]
+        self.linked = [np.zeros(len(own), np.int64) for own in members]  # links to each node
+        self.entry, self.count = -1, 0
+        self.computed = self.repaired = self.unrepaired = 0
 
     def room(self, level: int) -> int:
         return self.params.m * (1 if level else 2)
 
-    def descend(self, far, current: tuple[float, int], level: int) -> tuple[float, int]:
-        """Moves to the nearest neighbour while that is nearer."""
-        while links := self.links[current[1]][level]:
-            self.computed += len(links)
-            nearest = min(zip(far(links).tolist(), links))
-            if nearest >= current:
-                break
-            current = nearest
-        return current
-
-    def beam(self, far, entries: list[tuple[float, int]], width: int, level: int, deleted: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The ``width`` nearest nodes that a best-first search finds, nearest first; deleted ones lead on but don't count."""
-        seen = {node for _, node in entries}
-        todo = list(entries)
-        heapq.heapify(todo)
-        best = [(-d, -node) for d, node in entries if deleted is None or not deleted[node]]
-        heapq.heapify(best)
-        while len(best) > width:
-            heapq.heappop(best)
-        while todo:
-            d, node = heapq.heappop(todo)
-            if len(best) == width and (d, node) > (-best[0][0], -best[0][1]):
-                break
-            new = [x for x in self.links[node][level] if x not in seen]
-            if not new:
+    def lists(self) -> list[list[list[int]]]:
+        """The links of each node by level."""
+        out: list[list[list[int]]] = [[] for _ in self.levels]
+        for place, links in zip(self.place, self.links):
+            for node, own in zip(np.flatnonzero(place >= 0).tolist(), links.tolist()):
+                out[node].append([x for x in own if x >= 0])
+        return out
+
+    def of(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        return self.links[level][self.place[level][nodes]]
+
+    def far(self, q: np.ndarray, inverse: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Keys of ``nodes`` (queries, k), by distance from their queries; NONE for -1."""
+        out = np.full(nodes.shape, NONE)
+        r, c = np.nonzero(nodes >= 0)
+        self.computed += len(r)
+        to = nodes[r, c]
+        d = np.concatenate([np.zeros(0, np.float32), *(kernels.pairs(self.mode, q[r[i : i + 8192]], inverse[r[i : i + 8192]], self.v[to[i : i + 8192]], self.strict) for i in range(0, len(r), 8192))])
+        out[r, c] = keys_of(d, to)
+        return out
+
+    def descend(self, q: np.ndarray, inverse: np.ndarray, current: np.ndarray, level: int, live: np.ndarray) -> None:
+        """Moves the keys ``current`` of the ``live`` queries to the nearest neighbour while that is nearer."""
+        at = np.flatnonzero(live)
+        while len(at):
+            best = self.far(q[at], inverse[at], self.of(level, nodes_of(current[at]))).min(1)
+            nearer = best < current[at]
+            at, best = at[nearer], best[nearer]
+            current[at] = best
+
+    def beam(self, q: np.ndarray, inverse: np.ndarray, found: np.ndarray, width: int, level: int, deleted: np.ndarray | None = None) -> np.ndarray:
+        """Keys (queries, at most ``width``, or more where there are deleted nodes) that a best-first search finds from ``found``, in order.
+
+        The nearest node that is not expanded yet is, until none is left among the ``width`` nearest. Deleted nodes lead
+        on, and stand among the others, but don't count.
+        """
+        most = max(1, min(TOGETHER, VISITED // max(len(self.v), 1)))
+        if len(q) > most:
+            parts = [self.beam(q[i : i + most], inverse[i : i + most], found[i : i + most], width, level, deleted) for i in range(0, len(q), most)]
+            wide = max(p.shape[1] for p in parts)
+            return np.concatenate([np.pad(p, ((0, 0), (0, wide - p.shape[1])), constant_values=NONE) for p in parts])
+        seen = np.zeros((len(q), len(self.v) + 1), bool)  # the last for -1
+        seen[:, -1] = True
+        np.put_along_axis(seen, nodes_of(found), True, 1)
+        seen[:, -1] = True
+        keys = self._nearest(np.sort(found, 1), width, deleted)
+        while True:
+            open_ = (keys & 1) == 0
+            at = np.flatnonzero(open_.any(1))
+            if not len(at):
+                return np.where(keys == NONE, NONE, keys & ~np.int64(1))
+            first = open_[at].argmax(1)
+            nodes = nodes_of(keys[at, first])
+            keys[at, first] |= 1
+            new = self.of(level, nodes)
+            new = np.where(seen[at[:, None], new], -1, new)
+            seen[at[:, None], new] = True
+            more = self.far(q[at], inverse[at], new)
+            merged = self._nearest(np.sort(np.concatenate([keys[at], more], 1), 1), width, deleted)
+            wide = max(merged.shape[1], keys.shape[1])
+            if wide > keys.shape[1]:
+                keys = np.pad(keys, ((0, 0), (0, wide - keys.shape[1])), constant_values=NONE)
+            keys[at, : merged.shape[1]] = merged
+            keys[at, merged.shape[1] :] = NONE
+
+    @staticmethod
+    def _nearest(keys: np.ndarray, width: int, deleted: np.ndarray | None) -> np.ndarray:
+        if deleted is None:
+            return keys[:, :width]
+        nodes = nodes_of(keys)
+        counts = (nodes >= 0) & ~deleted[nodes]
+        kept = (np.cumsum(counts, 1) - counts < width) & (nodes >= 0)
+        return np.where(kept, keys, NONE)[:, : max(1, int(kept.sum(1).max(initial=0)))]
+
+    def _select(self, keys: np.ndarray, most: int) -> np.ndarray:
+        """The nodes (rows, most) that the heuristic takes of candidates in order; see :func:`select_neighbours`."""
+        nodes, d = nodes_of(keys), distances_of(keys)
+        valid, wide = nodes >= 0, keys.shape[1]
+        if not self.params.heuristic:
+            return np.pad(nodes, ((0, 0), (0, max(0, most - wide))), constant_values=-1)[:, :most]
+        taken, n = np.zeros(nodes.shape, bool), np.zeros(len(nodes), np.int64)
+        step = max(1, (32 << 20) // (4 * wide * (wide + self.v.shape[1])))
+        for i in range(0, len(nodes), step):
+            some = slice(i, i + step)
+            v = self.v[nodes[some]]
+            between = v @ v.transpose(0, 2, 1)
+            if self.mode == "l2":
+                square = np.einsum("tcd,tcd->tc", v, v)
+                between = np.maximum(square[:, :, None] + square[:, None, :] - 2 * between, 0)
+            elif self.mode in ("l2_unit", "cosine_unit"):
+                between = np.maximum(1 - between, 0) * (2 if self.mode == "l2_unit" else 1)
+            else:
+                between = -between
+            own, count = taken[some], n[some]
+            for c in range(wide):
+                fits = valid[some, c] & (count < most) & ~(own & (between[:, c] < d[some, c, None])).any(1)
+                own[:, c] = fits
+                count += fits
+        spare = valid & ~taken
+        if self.params.keep_pruned:
+            taken_too = spare & (np.cumsum(spare, 1) <= (most - n)[:, None])
+        else:
+            taken_too = np.zeros_like(taken)
+        place = np.where(taken, np.arange(wide), np.where(taken_too, wide + np.arange(wide), 2 * wide + 1))
+        order = np.argsort(place, 1, kind="stable")[:, :most]
+        out = np.where(np.take_along_axis(place, order, 1) <= 2 * wide, np.take_along_axis(nodes, order, 1), -1)
+        return np.pad(out, ((0, 0), (0, most - out.shape[1])), constant_values=-1)
+
+    def grow(self) -> Graph:
+        while self.count < len(self.v):
+            self._add(min(BATCH, max(1, self.count), len(self.v) - self.count))
+        return self
+
+    def _add(self, n: int) -> None:
+        """Adds the next ``n`` rows."""
+        first, p = self.count, self.params
+        new = np.arange(first, first + n)
+        q, one, levels = self.v[new], np.ones(n, np.float32), self.levels[new]
+        mates = keys_of(kernels.scores(self.mode, q, one, q, self.strict), np.broadcast_to(new, (n, n)))
+        mates = np.where(np.tri(n, n, -1, bool), mates, NONE)  # the ones before
+        top = int(self.levels[self.entry]) if self.entry >= 0 else -1
+        current = self.far(q, one, np.full((n, 1), self.entry))[:, 0] if top >= 0 else np.full(n, NONE)
+        found, plan = current[:, None], []
+        for at in range(max(top, int(levels.max())), -1, -1):
+            here = levels >= at
+            if at <= top:
+                self.descend(q, one, current, at, ~here)
+                found[~here, 0] = current[~here]
+                if here.any():
+                    got = self.beam(q[here], one[here], found[here], p.ef_construction, at)  # the next level starts from all of them
+                    found = np.pad(found, ((0, 0), (0, max(0, got.shape[1] - found.shape[1]))), constant_values=NONE)
+                    found[here, : got.shape[1]] = got
+                    found[here, got.shape[1] :] = NONE
+            if here.any():
+                near = np.where(here, mates[here], NONE)
+                candidates = np.sort(np.concatenate([found[here] if at <= top else near[:, :0], near], 1), 1)[:, : p.ef_construction]
+                plan.append((at, new[here], candidates, self._select(candidates, p.m)))
+        for at, nodes, _, chosen in plan:
+            self.links[at][self.place[at][nodes], : p.m] = chosen
+            np.add.at(self.linked[at], self.place[at][chosen[chosen >= 0]], 1)
+        self.count += n
+        for at, nodes, candidates, chosen in reversed(plan):
+            lost = self._link_back(at, nodes, chosen)
+            self._repair(at, nodes, candidates, lost)
+        if int(levels.max()) > top:
+            self.entry = first + int(levels.argmax())
+
+    def _link_back(self, at: int, nodes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Links from the chosen nodes; where there is no room for all, the nearest by the heuristic stay. Returns nodes that lost a link."""
+        r, c = np.nonzero(chosen >= 0)
+        to, source = chosen[r, c], nodes[r]
+        order = np.lexsort((source, to))
+        to, source = to[order], source[order]
+        targets, start, times = np.unique(to, return_index=True, return_counts=True)
+        if not len(targets):
+            return targets
+        room, place = self.room(at), self.place[at]
+        new = np.full((len(targets), int(times.max())), -1, np.int32)
+        new[np.repeat(np.arange(len(targets)), times), np.arange(len(to)) - np.repeat(start, times)] = source
+        both = np.concatenate([self.links[at][place[targets]], new], 1)
+        np.add.at(self.linked[at], place[source], 1)
+        # those with room: links first, then the free places
+        packed = np.take_along_axis(both, np.argsort(both < 0, 1, kind="stable"), 1)
+        full = (both >= 0).sum(1) > room
+        kept = packed[:, :room].copy()
+        lost = targets[:0]
+        if full.any():
+            own = targets[full]
+            keys = np.sort(self.far(self.v[own], np.ones(len(own), np.float32), packed[full]), 1)
+            kept[full] = self._select(keys, room)
+            before = packed[full]
+            gone = before[(before >= 0) & ~(before[:, :, None] == kept[full][:, None, :]).any(2)]
+            np.subtract.at(self.linked[at], place[gone], 1)
+            lost = np.unique(gone)
+        self.links[at][place[targets]] = kept
+        return lost
+
+    def _repair(self, at: int, nodes: np.ndarray, candidates: np.ndarray, lost: np.ndarray) -> None:
+        """Links orphans, new ones and those that lost their last link, from the nearest candidate that has room."""
+        place, links = self.place[at], self.links[at]
+        of = {int(node): nodes_of(candidates[i]) for i, node in enumerate(nodes) if self.linked[at][place[node]] == 0}
+        of |= {int(node): links[place[node]] for node in lost if self.linked[at][place[node]] == 0 and int(node) not in of}
+        for node, near in of.items():
+            if self.count == 1 or node == self.entry or not (near >= 0).any():
+                continue
+            near = near[near >= 0]
+            spare = near[(links[place[near]] < 0).any(1)]
+            if not len(spare):
+                self.unrepaired += 1
                 continue
-            seen.update(new)
-            self.computed += len(new)
-            for x in zip(far(new).tolist(), new):
-                if len(best) < width or x < (-best[0][0], -best[0][1]):
-                    heapq.heappush(todo, x)
-                    if deleted is None or not deleted[x[1]]:
-                        heapq.heappush(best, (-x[0], -x[1]))
-                        if len(best) > width:
-                            heapq.heappop(best)
-        return sorted((-d, -node) for d, node in best)
-
-    def add(self, level: int) -> None:
-        """Adds the next row as a node whose top level is ``level``."""
-        node, p = len(self.levels), self.params
-        self.levels.append(level)
-        self.links.append([[] for _ in range(level + 1)])
-        if self.entry < 0:
-            self.entry = node
-            return
-        far, top = self.from_node(node), self.levels[self.entry]
-        current = (float(far([self.entry])[0]), self.entry)
-        for at in range(top, level, -1):
-            current = self.descend(far, current, at)
-        found = [current]
-        plan = []
-        for at in range(min(level, top), -1, -1):
-            found = self.beam(far, found, p.ef_construction, at)  # the next level starts from all of them
-            plan.append((at, found, select_neighbours(found, p.m, self.between, p.heuristic, p.keep_pruned)))
-        for at, _, chosen in plan:
-            self.links[node][at] = [x for _, x in chosen]
-        for at, candidates, chosen in reversed(plan):
-            if sum(self._link_back(x, at, node, d) for d, x in chosen) == 0:
-                spare = next((x for _, x in candidates if len(self.links[x][at]) < self.room(at)), None)
-                if spare is None:
-                    self.unrepaired += 1
-                else:
-                    self.links[spare][at].append(node)
-                    self.repaired += 1
-        if level > top:
-            self.entry = node
-
-    def _link_back(self, node: int, level: int, new: int, d: float) -> bool:
-        links = self.links[node][level]
-        if len(links) < self.room(level):
-            links.append(new)
-            return True
-        candidates = sorted([*zip(self.from_node(node)(links).tolist(), links), (d, new)])
-        chosen = select_neighbours(candidates, self.room(level), self.between, self.params.heuristic, self.params.keep_pruned)
-        self.links[node][level] = [x for _, x in chosen]
-        return any(x == new for _, x in chosen)
-
-    def search(self, query: np.ndarray, inverse: np.float32, k: int, width: int, deleted: np.ndarray | None) -> list[tuple[float, int]]:
-        if self.entry < 0:
-            return []
-        far = self.from_query(query, inverse)
-        current = (float(far([self.entry])[0]), self.entry)
-        for at in range(self.levels[self.entry], 0, -1):
-            current = self.descend(far, current, at)
-        return self.beam(far, [current], max(width, k), 0, deleted)[:k]
+            row = links[place[spare[0]]]
+            row[np.flatnonzero(row < 0)[0]] = node
+            self.linked[at][place[node]] += 1
+            self.repaired += 1
+
+    def search(self, q: np.ndarray, inverse: np.ndarray, k: int, width: int, deleted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, distances), each (queries, k): the nearest found, -1 and infinity where fewer are."""
+        if not len(self.v):
+            return np.full((len(q), k), -1), np.full((len(q), k), np.inf, np.float32)
+        current = self.far(q, inverse, np.full((len(q), 1), self.entry))[:, 0]
+        for at in range(int(self.levels[self.entry]), 0, -1):
+            self.descend(q, inverse, current, at, np.ones(len(q), bool))
+        keys = self.beam(q, inverse, current[:, None], max(width, k), 0, deleted)
+        if deleted is not None:
+            nodes = nodes_of(keys)
+            keys = np.sort(np.where((nodes >= 0) & ~deleted[nodes], keys, NONE), 1)
+        keys = np.pad(keys, ((0, 0), (0, max(0, k - keys.shape[1]))), constant_values=NONE)[:, :k]
+        return nodes_of(keys), distances_of(keys)
 
 
 def build(rows: DataFrame, config: CollectionConfig) -> DataFrame:
     """The graph table of ``rows`` (row_id, id, vector, deleted), stored."""
     p, mode, dim = config.graph, config.mode, config.dim
+    # more shards than asked for where one would not fit a task
+    shards = max(p.shards, -(-rows.count() * 4 * dim // SHARD_BYTES))
 
     def grow(table: pa.Table) -> pa.Table:
         table = table.sort_by("row_id").combine_chunks()
         v = kernels.matrix(table.column("vector").combine_chunks(), dim)
-        graph = Graph(v, mode, p)
-        for level in random.levels(np.arange(len(v)), p.seed, p.m, p.max_level).tolist():
-            graph.add(level)
+        graph = Graph(v, random.levels(np.arange(len(v)), p.seed, p.m, p.max_level), mode, p, strict=False).grow()
         nodes = pa.array(range(len(v)), pa.int32())
-        return pa.table([table.column("shard"), nodes, table.column("row_id"), table.column("id"), table.column("vector"), table.column("deleted"), pa.array(graph.levels, pa.int32()), pa.array(graph.links, pa.list_(pa.list_(pa.int32()))), *(pa.array([x] + [None] * (len(v) - 1), pa.int64()) for x in (graph.computed, graph.repaired, graph.unrepaired))], names=["shard", "node", "row_id", "id", "vector", "deleted", "level", "links", "computed", "repaired", "unrepaired"])
+        counted = (pa.array([x] + [None] * (len(v) - 1), pa.int64()) for x in (graph.computed, graph.repaired, graph.unrepaired))
+        columns = [table.column("shard"), nodes, table.column("row_id"), table.column("id"), table.column("vector"), table.column("deleted"), pa.array(graph.levels, pa.int32()), pa.array(graph.lists(), pa.list_(pa.list_(pa.int32()))), *counted]
+        return pa.table(columns, names=["shard", "node", "row_id", "id", "vector", "deleted", "level", "links", "computed", "repaired", "unrepaired"])
 
-    dealt = rows.select(F.pmod(F.col("row_id"), F.lit(p.shards)).cast("int").alias("shard"), "row_id", "id", "vector", "deleted")
+    dealt = rows.select(F.pmod(F.col("row_id"), F.lit(shards)).cast("int").alias("shard"), "row_id", "id", "vector", "deleted")
     return stored(dealt.groupBy("shard").applyInArrow(grow, NODE))
 
 
+def packed(graph: DataFrame, config: CollectionConfig) -> DataFrame:
+    """The shards of ``graph``, a row of flat arrays each, stored; searches read them without a shuffle."""
+    m = config.graph.m
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node").combine_chunks()
+        links = table.column("links").to_pylist()
+        flat = np.full((sum(map(len, links)), 2 * m), -1, np.int32)
+        for row, own in zip(flat, (own for node in links for own in node)):
+            row[: len(own)] = own
+        v = kernels.matrix(table.column("vector").combine_chunks(), config.dim)
+        levels, gone = np.array(table.column("level").to_pylist(), np.uint8), np.array(table.column("deleted").to_pylist(), np.uint8)
+        parts = [*(np.array(table.column(c).to_pylist(), np.int64) for c in ("row_id", "id")), v, gone, levels, flat]
+        return pa.table([table.column("shard")[:1], pa.array([len(v)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    return stored(graph.select("shard", "node", "row_id", "id", "vector", "deleted", "level", "links").groupBy("shard").applyInArrow(pack, PACKED))
+
+
+def _unpacked(row: dict, config: CollectionConfig) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(graph, row ids, ids, which are deleted or None)."""
+    v, levels = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], config.dim), np.frombuffer(row["levels"], np.uint8).astype(np.int64)
+    g, flat = Graph(v, levels, config.mode, config.graph), np.frombuffer(row["links"], np.int32).reshape(-1, 2 * config.graph.m)
+    start = np.cumsum(levels + 1) - levels - 1
+    for at in range(len(g.links)):
+        nodes = np.flatnonzero(levels >= at)
+        g.links[at][:] = flat[start[nodes] + at, : g.room(at)]
+    g.entry, g.count = int(levels.argmax()) if len(levels) else -1, len(v)
+    gone = np.frombuffer(row["deleted"], np.uint8).astype(bool)
+    return g, np.frombuffer(row["row_ids"], np.int64), np.frombuffer(row["ids"], np.int64), gone if gone.any() else None
+
+
 def graph_search(graph: DataFrame, queries: DataFrame, config: CollectionConfig, params: SearchParams = SearchParams()) -> DataFrame:
-    """(qid, rank, id, distance) of ``queries`` by the graphs of all shards."""
+    """(qid, rank, id, distance) of ``queries`` by the graphs of all shards; ``graph`` is a graph's table, or what :func:`packed` made of it.
+
+    Each block of queries is sent to the shards in parts, so that few shards keep all cores busy too.
+    """
     check_queries(queries, config)
     spark, dim, k, width = graph.sparkSession, config.dim, params.k, params.beam(config.graph)
+    shards = graph if "vectors" in graph.columns else packed(graph, config)
     found = spark.createDataFrame([], CANDIDATE)
+    parts = max(1, -(-spark.sparkContext.defaultParallelism // max(1, shards.count())))
+    asked = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.repartition("shard", "part") if parts > 1 else asked
     for qids, q in query_blocks(queries, dim):
         sent = spark.sparkContext.broadcast((qids, q, kernels.inverse_norm(q) if config.normalize else np.ones(len(q), np.float32)))
-
-        found = found.union(graph.groupBy("shard").applyInArrow(_answer(sent, config, k, width), CANDIDATE))
+        found = found.union(asked.mapInArrow(_answer(sent, config, k, width, parts), CANDIDATE))
     return ranked(found, k)
 
 
-def _answer(sent, config: CollectionConfig, k: int, width: int):
-    def answer(table: pa.Table) -> pa.Table:
+def _answer(sent, config: CollectionConfig, k: int, width: int, parts: int):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, inverse = sent.value
-        table = table.sort_by("node").combine_chunks()
-        g = Graph(kernels.matrix(table.column("vector").combine_chunks(), config.dim), config.mode, config.graph, square=False)
-        g.levels, g.links = table.column("level").to_pylist(), table.column("links").to_pylist()
-        g.entry = int(np.argmax(g.levels)) if g.levels else -1
-        gone = np.array(table.column("deleted").to_pylist(), bool)
-        hits = [(qid, x, d) for qid, query, inv in zip(qids.tolist(), q, inverse) for d, x in g.search(query, inv, k, width, gone if gone.any() else None)]
-        row, id_ = table.column("row_id").to_pylist(), table.column("id").to_pylist()
-        return pa.table({"qid": pa.array([h[0] for h in hits], pa.int64()), "row_id": pa.array([row[h[1]] for h in hits], pa.int64()), "id": pa.array([id_[h[1]] for h in hits], pa.int64()), "distance": pa.array([h[2] for h in hits], pa.float32())})
+        for batch in batches:
+            for row in batch.to_pylist():
+                g, row_ids, ids, gone = _unpacked(row, config)
+                own = slice(row["part"], None, parts)
+                nodes, d = g.search(q[own], inverse[own], k, width, gone)
+                r, c = np.nonzero(nodes >= 0)
+                hit = nodes[r, c]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[own][r], pa.int64()), pa.array(row_ids[hit], pa.int64()), pa.array(ids[hit], pa.int64()), pa.array(d[r, c], pa.float32())], ["qid", "row_id", "id", "distance"])
 
     return answer
 

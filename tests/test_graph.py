@@ -1,8 +1,10 @@
+import heapq
+
 import numpy as np
 import pytest
 
 from halyard.config import CollectionConfig, GraphParams, SearchParams
-from halyard.functions import random
+from halyard.functions import kernels, random
 from halyard.operators import evaluation, graph
 from halyard.operators.collection import VectorCollection
 from halyard.operators.search import exact_search
@@ -65,11 +67,51 @@ def test_equal_vectors_stay_reachable(spark):
 
 
 def test_a_broken_graph_is_reported(spark):
-    bad = spark.createDataFrame([(0, 0, 0, 0, [0.0], False, 0, [[0, 1, 1]]), (0, 1, 1, 1, [0.0], False, 0, [[7]])], graph.NODE)
+    bad = spark.createDataFrame([(0, 0, 0, 0, [0.0], False, 0, [[0, 1, 1]], 1, 0, 0), (0, 1, 1, 1, [0.0], False, 0, [[7]], None, None, None)], graph.NODE)
     found = {r["problem"] for r in graph.violations(bad, GraphParams()).collect()}
     assert found == {"repeated link", "link to itself", "link to a node that is not on the level"}
 
 
+def test_beams_find_what_a_search_one_by_one_finds():
+    """Against a best-first search with heaps, with and without deleted nodes."""
+    v, q = clustered(500, 16, 5), clustered(40, 16, 6)
+    p = GraphParams(m=6, ef_construction=40)
+    g = graph.Graph(v, random.levels(np.arange(500), p.seed, p.m, p.max_level), "l2", p).grow()
+    far = lambda x, nodes: kernels.scores("l2", x[None], np.ones(1, np.float32), v[nodes])[0].tolist()
+    for gone in (None, np.random.default_rng(1).random(500) < 0.4):
+        nodes, d = g.search(q, np.ones(40, np.float32), 10, 25, gone)
+        for x, got, near in zip(q, nodes, d):
+            current = (far(x, [g.entry])[0], g.entry)
+            for at in range(int(g.levels[g.entry]), 0, -1):
+                while (links := [n for n in g.of(at, np.array([current[1]]))[0].tolist() if n >= 0]) and min(zip(far(x, links), links)) < current:
+                    current = min(zip(far(x, links), links))
+            todo, seen, best = [current], {current[1]}, [] if gone is not None and gone[current[1]] else [current]
+            while todo:
+                node = heapq.heappop(todo)
+                if len(best) == 25 and node > best[-1]:
+                    break
+                for y in [n for n in g.of(0, np.array([node[1]]))[0].tolist() if n >= 0 and n not in seen]:
+                    seen.add(y)
+                    item = (far(x, [y])[0], y)
+                    if len(best) < 25 or item < best[-1]:
+                        heapq.heappush(todo, item)
+                        if gone is None or not gone[y]:
+                            best = sorted([*best, item])[:25]
+            assert [n for _, n in best[:10]] == got.tolist() and [x for x, _ in best[:10]] == near.tolist()
+
+
+def test_chosen_links_are_those_of_the_plain_rule():
+    v = clustered(120, 8, 9)
+    for options in ({}, {"keep_pruned": False}, {"heuristic": False}):
+        g = graph.Graph(v, np.zeros(120, np.int64), "l2", GraphParams(m=6, **options))
+        far = lambda a, b: float(kernels.scores("l2", v[a : a + 1], np.ones(1, np.float32), v[b : b + 1])[0, 0])
+        for base in range(20):
+            near = sorted((far(base, i), i) for i in range(40, 110))
+            want = [n for _, n in graph.select_neighbours(near, 6, far, options.get("heuristic", True), options.get("keep_pruned", True))]
+            got = g._select(graph.keys_of(np.array([[d for d, _ in near]], np.float32), np.array([[n for _, n in near]])), 6)[0]
+            assert [n for n in got.tolist() if n >= 0] == want
+
+
 def test_level_histogram_has_zeros(spark):
     g = graph.build(rows(spark, clustered(100, 16, 1)), CollectionConfig(16, index="hnsw", graph=GraphParams(shards=1)))
     got = {r["level"]: r["n"] for r in graph.level_histogram(g, 16).collect()}
