@@ -34,7 +34,7 @@ from halyard.llm.common import small_batches, stored, table
 from halyard.llm.components import Forest, components
 
 #: Longest inverted list whose pairs are counted; keys of one index task; keys that are dealt at once; n-grams of one tile.
-SHORT, KEYS, DEALT, TILE = 32, 250_000, 1_000_000, 2_000_000
+SHORT, KEYS, DEALT, TILE = 32, 250_000, 1_000_000, 1_000_000
 #: Members at which a component of a block gets an index of its own.
 LARGE = 64
 #: Words remembered, and the longest in bytes.
@@ -386,7 +386,8 @@ def linked_classes(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     place = tiled.select("c", "root", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), F.col("doc_id").alias("one_id"), F.col("th").alias("one_th"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("one_id")) & (F.xxhash64("text") == F.col("one_th"))
-    texts = docs.select("doc_id", "text").join(place, same)
+    # by a shuffle at every size: what has a partner grows with the input, and one plan's figures hold for more
+    texts = docs.select("doc_id", "text").join(place.hint("merge"), same)
     links = texts.groupBy("root", "low", "high").applyInArrow(_search(n, percent), "a long, b long")
     return members, stored(links)
 
