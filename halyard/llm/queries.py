@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from halyard.llm import checks
 from halyard.llm.fingerprints import op4_fingerprints
 from halyard.llm.language import op8_language
 from halyard.llm.line_templates import op3_line_templates
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_url_reputation": op9_url_reputation,
     "op10_token_counts": op10_token_counts,
+    **checks.QUERIES,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_reputation": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_url_reputation": OP9_SQL, **checks.ORACLE_SQL}
