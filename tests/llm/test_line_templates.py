@@ -71,7 +71,7 @@ def test_a_passage_of_two_documents_goes(make):
     assert got[1]["dropped"] == [1]
 
 
-def by_hand(rows, min_docs=3, fixed=0.6):
+def by_hand(rows, min_docs=3, fixed=0.6, templates=True, passages=True):
     """Dropped (row, line) pairs, by plain loops over the definitions. Ids are not null."""
     parsed = []  # (row, doc, pos, tokens, raw tokens)
     for r, (doc, text, *_) in enumerate(rows):
@@ -86,14 +86,14 @@ def by_hand(rows, min_docs=3, fixed=0.6):
             support[leaf(w), at, t].add(doc)
     letter = lambda t: any(c.isalpha() for c in t)
     for r, doc, pos, w, raw in parsed:
-        names = [("whole", w)] if len(w) < 3 and any(map(letter, w)) else []
-        if len(w) >= 3:
+        names = [("whole", w)] if templates and len(w) < 3 and any(map(letter, w)) else []
+        if templates and len(w) >= 3:
             n = {at: len(support[leaf(w), at, t]) for at, t in enumerate(w)}
             for s in {x for x in n.values() if x >= min_docs}:
                 at = [a for a in n if n[a] >= s]
                 if len(at) >= fixed * len(w) and any(letter(w[a]) for a in at):
                     names.append(("template", leaf(w), tuple((a, w[a]) for a in at)))
-        if len(raw) >= 50 and any(map(letter, raw)):
+        if passages and len(raw) >= 50 and any(map(letter, raw)):
             names.append(("passage", raw))
         for name in names:
             groups[name].append((doc, r, pos))

@@ -6,7 +6,11 @@ import pytest
 import corpus_pipeline
 from halyard.llm.common import stored
 
+from halyard.llm.packing import default_path, encoder
+
 from .conftest import words
+from .test_line_templates import by_hand
+from .test_ngram_join import brute
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -68,3 +72,47 @@ def test_awkward_documents(spark, awkward, empty, name, stage):
 def test_run_over_small_tables(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.count() > 0 and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_stages_as_by_plain_loops(spark, make):
+    """Line, near-copy and passage decisions against loops over the definitions, words of the mix, tokens of the packing."""
+    rng = random.Random(11)
+    foot, passage = "Printed by the office of {} on request of readers", " ".join(words(60, "passage"))
+    rows = []
+    for i in range(36):
+        own = [" ".join(words(25, f"{i}-{k}")) for k in range(5)]
+        if i % 3 == 0:
+            own.insert(rng.randrange(5), foot.format(words(1, i)[0]))
+        if i in (7, 20):
+            own.insert(2, passage)
+        if i % 5 == 0:
+            own.append("Read more")
+        rows.append((i, "\n".join(own), f"s{i % 3}"))
+    rows += [(100 + i, rows[i][1] + " tail", "s1") for i in range(6)] + [(200, rows[8][1], "s2"), (201, rows[8][1], None)]
+    docs = make(rows)
+    lined = {r["doc_id"]: r["text"] for r in stored(corpus_pipeline.line_dedup(spark, docs, "")).collect()}
+    gone = {p for p in by_hand(rows, passages=False)}
+    want = {}
+    for r, (doc, text, *_) in enumerate(rows):
+        left = [x for k, x in enumerate(text.split("\n")) if (r, k) not in gone]
+        if left:
+            want[doc] = "\n".join(left)
+    assert lined == want
+    docs = make([(d, t, "s") for d, t in sorted(lined.items())])
+    near = {r["doc_id"]: r["text"] for r in stored(corpus_pipeline.near_copies(spark, docs, "")).collect()}
+    ones = [(d, t, "s") for d, t in sorted(lined.items()) if d in {c for _, _, c in brute(sorted(lined.items()), 5, 80)}]
+    gone = {(r, p) for r, p in by_hand(ones, templates=False)}
+    want = {}
+    for r, (doc, text, *_) in enumerate(ones):
+        left = [x for k, x in enumerate(text.split("\n")) if (r, k) not in gone]
+        if left:
+            want[doc] = "\n".join(left)
+    assert near == want and 7 in near and passage in near[7] and passage not in near[20]
+    docs = make([(d, t, f"s{d % 3}") for d, t in sorted(near.items())])
+    mixed = corpus_pipeline.source_mix(spark, docs, "").collect()
+    n = {d: len(t.split()) for d, t in near.items()}
+    total, size = sum(n.values()), {s: sum(k for d, k in n.items() if d % 3 == s) for s in range(3)}
+    taken = {s: sum(len(r["text"].split()) for r in mixed if r["doc_id"] % 3 == s) for s in range(3)}
+    assert all(abs(taken[s] - min(3 * size[s], total * w / 8)) <= 1 for s, w in ((0, 5), (1, 2), (2, 1)))
+    pieces = corpus_pipeline.packing(spark, make([(r["doc_id"], r["text"], r["source"]) for r in mixed]), "").collect()
+    assert sum(r["length"] for r in pieces) == sum(len(encoder(default_path()).encode(r["text"])) // 4 + 1 for r in mixed)
