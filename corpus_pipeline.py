@@ -19,7 +19,10 @@ def _packed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null and empty texts fail them; null ids and repeated rows are judged like others; an empty table gives none.
+    """
     return judge(_packed(docs, "text"), ["_row"]).where("kept").select("_row.*")
 
 
@@ -32,23 +35,39 @@ def _cleaned(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; passages of two documents stay, as near copies are known by them."""
+    """Documents without recurring lines; passages of two documents stay, as near copies are known by them.
+
+    Documents of which nothing is left go. Null texts stay; null ids are told apart by text; repeated rows lose the
+    same lines; an empty table gives none.
+    """
     return _cleaned(drop_templates(_packed(docs, "doc_id", "text"), passages=False), docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles link at 0.8 or more, each passage in one of these only."""
+    """One document of each group whose five-word shingles link at 0.8 or more, each passage in one of these only.
+
+    One of equal rows stays, and one of equal texts without ids; null, empty and blank texts all stay; an empty
+    table gives none.
+    """
     left = stored(keep_one_of_each(docs, n=5, percent=80))
     return _cleaned(drop_passages(_packed(left, "doc_id", "text")), docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, the last time in part."""
+    """Documents as often as the mix takes them, the last time in part.
+
+    Texts without words, null ones too, are not taken; null sources are a source; repeated rows are rows like
+    others; an empty table gives none.
+    """
     return mix_texts(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    A null or empty text is its end token; null ids and repeated rows are packed like others; an empty table
+    gives none.
+    """
     return pack_documents(docs)
 
 
