@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from halyard.errors import InvalidInput
 from halyard.functions.random import Xoshiro
 
+#: Rows of a batch.
+BLOCK = 8192
+
 
 @dataclass(frozen=True)
 class Mixture:
@@ -54,8 +58,10 @@ def synthetic(spark: SparkSession, spec: Mixture, n: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             pass
-        rows = list(spec.rows(n))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.float32()))], ["row", "vector"])
+        rows = spec.rows(n)
+        for first in range(0, n, BLOCK):
+            some = list(islice(rows, BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(some)), pa.int64()), pa.array(some, pa.list_(pa.float32()))], ["row", "vector"])
 
     return spark.range(1, numPartitions=1).mapInArrow(make, "row long, vector array<float>")
 
