@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,4 +89,43 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """The paths of the tables that are stored inside."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that are stored inside, except those that it is told to keep: ``with scratch(spark) as keep: ... keep(stored(df))``.
+
+    Nothing else that is read after it may depend on tables stored inside.
+    """
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
+
+    with scope() as made:
+        yield keep
+    if _scopes:
+        _scopes[-1].extend(kept)
+    for path in made:
+        if path not in kept:
+            remove(spark, path)
