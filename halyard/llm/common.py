@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.storage import remove, shared_dir, stored
+from halyard.storage import remove, scope, scratch, shared_dir, stored
 
 #: Six ASCII white-space characters part words; everything else belongs to a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROWS_A_BATCH = 1000
 
 
-__all__ = ["SPACES", "WORD", "clean", "crc_of_id", "n_words", "shared_dir", "small_batches", "stored", "table"]
+__all__ = ["SPACES", "WORD", "clean", "crc_of_id", "n_words", "remove", "scope", "scratch", "shared_dir", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

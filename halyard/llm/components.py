@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import stored
+from halyard.llm.common import scratch, stored
 
 
 class Forest:
@@ -51,21 +51,22 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic number in the size of a component, until no edge changes. Each round goes to the shared
     folder. A star's centre may have any number of edges: only minima are taken over them.
     """
-    edges = stored(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        # stored, so that both sides of the joins are plain shuffles and a star's partition can be split
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        down = stored(down)
-        least = stored(down.groupBy("a").agg(F.min("b").alias("m")))
-        small = down.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = stored(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    with scratch(edges.sparkSession) as keep:
+        edges = stored(edges.where("a <> b").select("a", "b").mapInArrow(_contract, "a long, b long").distinct())
+        before = None
+        while True:
+            both = edges.union(edges.select("b", "a"))
+            # stored, so that both sides of the joins are plain shuffles and a star's partition can be split
+            least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            down = stored(down)
+            least = stored(down.groupBy("a").agg(F.min("b").alias("m")))
+            small = down.join(least, "a")
+            small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
+            edges = stored(small.where("a <> b").distinct())
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+            if now == before:
+                break
+            before = now
+        return keep(stored(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import stored, table
+from halyard.llm.common import scratch, stored, table
 
 #: Leading tokens below the token count; documents that a fixed token has at least, and that make a template recur; least tokens
 #: of a line with fields; least share of fixed tokens.
@@ -103,8 +103,7 @@ def _cleaned(text: Column, dropped: Column) -> Column:
 
 
 def _without(docs: DataFrame, kept: DataFrame, bad: DataFrame) -> DataFrame:
-    """``docs`` without the lines of ``kept`` (doc_id, th, pos, lh) that are ``bad`` (lh, first), except in the first document of each."""
-    bad = stored(bad.groupBy("lh").agg(F.min("first").alias("first")))
+    """``docs`` without the lines of ``kept`` (doc_id, th, pos, lh) that are ``bad`` (lh, first), one row of each lh, except in the first document of each."""
     hit = kept.select(*_WHO, "pos", "lh").join(bad, "lh").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))))
     hit = hit.groupBy(*_WHO).agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     hit = hit.select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th"), F.col("dropped").alias("_hit"))
@@ -131,21 +130,23 @@ def drop_templates(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIX
     passage = F.when((F.col("n") >= PASSAGE) & letter, F.xxhash64(_even(F.col("line"), False), F.lit(3)))
     kept = lines.select("d", *_WHO, "pos", F.when(~short, F.col("leaf")).alias("leaf"), "lh", passage.alias("passage"), (short & letter).alias("short"))
     kept = stored(kept)
-    by_doc = kept.where("leaf is not null").groupBy("leaf", "d").agg(F.collect_set(F.struct("lh", *_WHO)).alias("x"))
-    by_doc = stored(by_doc)
-    leaves = stored(by_doc.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
-    if leaves.count() <= BROADCAST_LEAVES:
-        leaves = F.broadcast(leaves)
-    again = lines.select("leaf", "lh", "even").join(leaves, "leaf", "left_semi")
-    # a token's lowest bit says whether it has a letter
-    named = F.transform("w", lambda t: F.xxhash64(t).bitwiseAND(F.lit(-2)).bitwiseOR(t.rlike(r"\p{L}").cast("long")))
-    tokens = again.groupBy("leaf", "lh").agg(F.first("even").alias("even")).select("leaf", "lh", F.split("even", " ").alias("w")).select("leaf", "lh", named.alias("tokens"))
-    bad = _recurring(by_doc.join(leaves, "leaf", "left_semi"), tokens, min_docs, fixed)
-    bad = bad.union(_repeated(kept.where("short"), min_docs))
-    if passages:
-        whole = kept.where("passage is not null").select("d", *_WHO, "pos", F.col("passage").alias("lh"))
-        bad = bad.union(_repeated(whole, 2))
-        kept = kept.select(*_WHO, "pos", "lh").union(whole.select(*_WHO, "pos", "lh"))
+    with scratch(docs.sparkSession) as keep:
+        by_doc = kept.where("leaf is not null").groupBy("leaf", "d").agg(F.collect_set(F.struct("lh", *_WHO)).alias("x"))
+        by_doc = stored(by_doc)
+        leaves = stored(by_doc.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"))
+        if leaves.count() <= BROADCAST_LEAVES:
+            leaves = F.broadcast(leaves)
+        again = lines.select("leaf", "lh", "even").join(leaves, "leaf", "left_semi")
+        # a token's lowest bit says whether it has a letter
+        named = F.transform("w", lambda t: F.xxhash64(t).bitwiseAND(F.lit(-2)).bitwiseOR(t.rlike(r"\p{L}").cast("long")))
+        tokens = again.groupBy("leaf", "lh").agg(F.first("even").alias("even")).select("leaf", "lh", F.split("even", " ").alias("w")).select("leaf", "lh", named.alias("tokens"))
+        bad = _recurring(by_doc.join(leaves, "leaf", "left_semi"), tokens, min_docs, fixed)
+        bad = bad.union(_repeated(kept.where("short"), min_docs))
+        if passages:
+            whole = kept.where("passage is not null").select("d", *_WHO, "pos", F.col("passage").alias("lh"))
+            bad = bad.union(_repeated(whole, 2))
+            kept = kept.select(*_WHO, "pos", "lh").union(whole.select(*_WHO, "pos", "lh"))
+        bad = keep(stored(bad.groupBy("lh").agg(F.min("first").alias("first"))))
     return _without(docs, kept, bad)
 
 
@@ -153,7 +154,7 @@ def drop_passages(docs: DataFrame) -> DataFrame:
     """Like :func:`drop_templates`, for nothing but equal lines of at least PASSAGE tokens, in two documents or more."""
     lines = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).where((F.col("n") >= PASSAGE) & F.col("line").rlike(r"\p{L}"))
     kept = stored(lines.select("d", *_WHO, "pos", F.xxhash64(_even(F.col("line"), False), F.lit(3)).alias("lh")))
-    return _without(docs, kept, _repeated(kept, 2))
+    return _without(docs, kept, stored(_repeated(kept, 2)))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
