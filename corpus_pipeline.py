@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import stored
+from halyard.llm.common import remove, scope, scratch, stored
 from halyard.llm.line_templates import drop_passages, drop_templates
 from halyard.llm.mixing import mix_texts
 from halyard.llm.ngram_join import keep_one_of_each
@@ -49,7 +51,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One of equal rows stays, and one of equal texts without ids; null, empty and blank texts all stay; an empty
     table gives none.
     """
-    left = stored(keep_one_of_each(docs, n=5, percent=80))
+    with scratch(spark) as keep:
+        left = keep(stored(keep_one_of_each(docs, n=5, percent=80)))
     return _cleaned(drop_passages(_packed(left, "doc_id", "text")), docs.columns)
 
 
@@ -71,7 +74,34 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("source_mix", source_mix), ("packing", packing)]
+#: The number of the last stage that ran, and the tables that it stored for itself.
+_spent: list = [-1, []]
+
+
+def _stage(number: int, function):
+    """``function``, which first removes what the stage before stored for itself, as that stage's result has been written.
+
+    Tables that ``docs`` still reads stay, and so do those of a stage that is not followed by the next.
+    """
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        before, tables = _spent
+        if before == number - 1 and tables:
+            read = docs.inputFiles()
+            for path in tables:
+                if not any(path.rpartition("/")[2] in f for f in read):
+                    remove(spark, path)
+        with scope() as made:
+            found = function(spark, docs, sf_dir)
+        _spent[:] = number, made
+        return found
+
+    return run
+
+
+_FUNCTIONS = (("quality", quality), ("line_dedup", line_dedup), ("near_copies", near_copies), ("source_mix", source_mix), ("packing", packing))
+STAGES = [(name, _stage(k, f)) for k, (name, f) in enumerate(_FUNCTIONS)]
 
 #: SQL can't express the template tree, the schedule or the tokenizer.
 ORACLE_SQL = None
