@@ -107,9 +107,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         hot = F.broadcast(spark.createDataFrame(many, "o long, tie long"))
         one = df.join(hot, ["o", "tie"], "left_semi").groupBy("o", "tie").agg(F.first("doc_id").alias("doc_id"), F.first("t").alias("t"), F.count("*").alias("copies"))
         df = df.join(hot, ["o", "tie"], "left_anti").select("doc_id", "o", "tie", "t", "copies").union(one.select("doc_id", "o", "tie", "t", "copies"))
-    df = _bucket(df, _bounds(counted.select("o", "tie"), buckets))
+    bounds = _bounds(counted.select("o", "tie"), buckets)  # once: beyond some rows its percentiles depend on the order in which partitions arrive
+    df = _bucket(df, bounds)
     # one row for each bucket, at most MOST_BUCKETS
-    heads = sorted(tuple(r) for r in _bucket(counted, _bounds(counted.select("o", "tie"), buckets)).groupBy("bucket").agg(F.max(F.struct("o", "tie")).alias("x")).select("bucket", "x.o", "x.tie").collect())
+    heads = sorted(tuple(r) for r in _bucket(counted, bounds).groupBy("bucket").agg(F.max(F.struct("o", "tie")).alias("x")).select("bucket", "x.o", "x.tie").collect())
     before = [(b, o, tie, heads[(i + 1) % len(heads)][0]) for i, (b, o, tie) in enumerate(heads)]
     heads = spark.createDataFrame(before, "bucket int, o long, tie long, target int")
     df = df.join(F.broadcast(heads), ["bucket", "o", "tie"], "left")

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from halyard.llm import fingerprints
 from halyard.llm.fingerprints import LEVELS, SETS, fingerprint, with_next
 
 from .conftest import words
@@ -144,3 +145,17 @@ def test_a_frequent_id_and_equal_rows_are_parted(make):
     assert max(Counter(r["bucket"] for r in dealt).values()) < 60 and sum(r["copies"] for r in dealt if r["own"]) == 500
     got = fingerprint(make(rows)).collect()
     assert len(got) == 500 and sum(r["near_next"] == 1.0 for r in got) >= 299
+
+
+def test_buckets_and_their_first_texts_have_the_same_bounds(make, monkeypatch):
+    """Percentiles of many rows are approximate: each reckoning may give others."""
+    asked = []
+
+    def moving(light, buckets):
+        asked.append(buckets)
+        return [(o + len(asked), fingerprints._LOWEST) for o in range(10, 110, 20)]
+
+    monkeypatch.setattr(fingerprints, "_bounds", moving)
+    rows = [(i, " ".join(words(20 + i % 30, i)), "a") for i in range(120)]
+    got = {r["doc_id"]: r["next_t"] for r in with_next(make(rows).select("doc_id", F.col("text").alias("t"))).where("own").collect()}
+    assert got == {i: rows[i - 1][1] for i in range(120)}
