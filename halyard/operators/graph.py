@@ -266,23 +266,58 @@ class Graph:
         return lost
 
     def _repair(self, at: int, nodes: np.ndarray, candidates: np.ndarray, lost: np.ndarray) -> None:
-        """Links orphans, new ones and those that lost their last link, from the nearest candidate that has room."""
+        """Links orphans, new ones and those that lost their last link, from the nearest candidate that has room, or else in place of a link."""
         place, links = self.place[at], self.links[at]
         of = {int(node): nodes_of(candidates[i]) for i, node in enumerate(nodes) if self.linked[at][place[node]] == 0}
         of |= {int(node): links[place[node]] for node in lost if self.linked[at][place[node]] == 0 and int(node) not in of}
         for node, near in of.items():
-            if self.count == 1 or node == self.entry or not (near >= 0).any():
+            if self.count == 1 or node == self.entry or not (near >= 0).any() or self.linked[at][place[node]]:
                 continue
             near = near[near >= 0]
             spare = near[(links[place[near]] < 0).any(1)]
             if not len(spare):
-                self.unrepaired += 1
+                if self._replace(at, node, near):
+                    self.repaired += 1
+                else:
+                    self.unrepaired += 1
                 continue
             row = links[place[spare[0]]]
             row[np.flatnonzero(row < 0)[0]] = node
             self.linked[at][place[node]] += 1
             self.repaired += 1
 
+    def _replace(self, at: int, node: int, near: np.ndarray) -> bool:
+        """Links the orphan ``node`` from the nearest of ``near``, which are full, in place of the last link that can go, or from nodes that they lead to.
+
+        A link can go if the orphan leads to its end, or has room to, so that all stays in reach, or else if its end keeps another link.
+        """
+        place, links, linked = self.place[at], self.links[at], self.linked[at]
+        own, queue = links[place[node]], [int(x) for x in near]
+        met = {node, *queue}
+        for x in queue:
+            row = links[place[x]]
+            free = np.flatnonzero(row < 0)
+            if len(free):
+                row[free[0]] = node
+                linked[place[node]] += 1
+                return True
+            room, kept = np.flatnonzero(own < 0), np.flatnonzero(np.isin(row, own))
+            if not len(kept) and len(room):
+                kept = np.arange(len(row))
+                own[room[0]] = row[-1]
+                linked[place[row[-1]]] += 1
+            elif not len(kept):
+                kept = np.flatnonzero(linked[place[row]] > 1)
+            if len(kept):
+                linked[place[row[kept[-1]]]] -= 1
+                linked[place[node]] += 1
+                row[kept[-1]] = node
+                return True
+            more = [y for y in row.tolist() if y not in met]
+            met.update(more)
+            queue += more
+        return False
+
     def search(self, q: np.ndarray, inverse: np.ndarray, k: int, width: int, deleted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, distances), each (queries, k): the nearest found, -1 and infinity where fewer are."""
         if not len(self.v):

@@ -117,3 +117,16 @@ def test_level_histogram_has_zeros(spark):
     got = {r["level"]: r["n"] for r in graph.level_histogram(g, 16).collect()}
     expected = np.bincount(random.levels(np.arange(100), GraphParams().seed, 16, 16), minlength=17)
     assert [got[i] for i in range(17)] == expected.tolist()
+
+
+@pytest.mark.parametrize("v", [clustered(400, 16, 8), np.repeat(clustered(20, 16, 8), 30, 0)])
+def test_every_node_is_linked_where_candidates_are_full(v):
+    p = GraphParams(m=2, ef_construction=4)
+    g = graph.Graph(v, random.levels(np.arange(len(v)), p.seed, 4, p.max_level), "l2", p).grow()
+    assert g.unrepaired == 0
+    for at, (place, links) in enumerate(zip(g.place, g.links)):
+        members = np.flatnonzero(place >= 0)
+        linked = np.bincount(links[links >= 0], minlength=len(v))
+        assert set(members[linked[members] == 0].tolist()) <= {g.entry}
+        assert (g.linked[at] == linked[members]).all() and (place[links[links >= 0]] >= 0).all()
+        assert all(len(set(own)) == len(own) and node not in own for node, own in zip(members.tolist(), ([x for x in own if x >= 0] for own in links.tolist())))
