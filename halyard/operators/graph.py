@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from halyard.config import CollectionConfig, GraphParams, SearchParams
 from halyard.functions import kernels, random
-from halyard.operators.search import CANDIDATE, query_blocks, ranked
+from halyard.operators.search import CANDIDATE, Best, query_blocks, ranked
 from halyard.operators.validation import check_queries
 from halyard.storage import stored
 
@@ -325,6 +325,8 @@ class Graph:
         current = self.far(q, inverse, np.full((len(q), 1), self.entry))[:, 0]
         for at in range(int(self.levels[self.entry]), 0, -1):
             self.descend(q, inverse, current, at, np.ones(len(q), bool))
+        if max(width, k) >= len(self.v) - (0 if deleted is None else int(deleted.sum())):
+            return self._nearest_reached(q, inverse, nodes_of(current), k, deleted)
         keys = self.beam(q, inverse, current[:, None], max(width, k), 0, deleted)
         if deleted is not None:
             nodes = nodes_of(keys)
@@ -333,6 +335,47 @@ class Graph:
         return nodes_of(keys), distances_of(keys)
 
 
+    def _nearest_reached(self, q: np.ndarray, inverse: np.ndarray, starts: np.ndarray, k: int, deleted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """What a beam finds that has room for every node: it expands all that links reach from where it starts, in whatever order, so they are scored at once."""
+        nodes, d = np.full((len(q), k), -1), np.full((len(q), k), np.inf, np.float32)
+        links = self.links[0]
+        source, slot = np.nonzero(links >= 0)
+        order = np.argsort(links[source, slot], kind="stable")
+        source, end = source[order], np.cumsum(np.bincount(links[source, slot], minlength=len(links)))
+        back = lambda to: source[_ranges(np.concatenate([[0], end])[to], end[to])]
+        left = np.unique(starts)
+        while len(left):
+            reached = _reached(len(links), left[0], lambda of: links[of].ravel())
+            # starts that lead to one another reach the same
+            same = reached & _reached(len(links), left[0], back)
+            own, left = np.flatnonzero(same[starts]), left[~same[left]]
+            rows = np.flatnonzero(reached if deleted is None else reached & ~deleted)
+            best = Best(len(own), k)
+            best.scan(self.mode, q[own], inverse[own], self.v[rows], rows, rows, self.strict)
+            self.computed += len(own) * len(rows)
+            place = np.arange(len(best.q)) - np.searchsorted(best.q, best.q)
+            nodes[own[best.q], place], d[own[best.q], place] = best.row, best.d
+        return nodes, d
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers from each start to before its end, one range after the other."""
+    n = end - start
+    return np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
+
+
+def _reached(n: int, start: int, step) -> np.ndarray:
+    """Which of ``n`` nodes are ``start`` or follow from it; ``step`` gives the nodes after some, -1 for none."""
+    reached = np.zeros(n + 1, bool)  # the last for -1
+    reached[-1] = True
+    frontier = np.array([start])
+    while len(frontier):
+        reached[frontier] = True
+        after = step(frontier)
+        frontier = np.unique(after[~reached[after]])
+    return reached[:-1]
+
+
 def build(rows: DataFrame, config: CollectionConfig) -> DataFrame:
     """The graph table of ``rows`` (row_id, id, vector, deleted), stored."""
     p, mode, dim = config.graph, config.mode, config.dim

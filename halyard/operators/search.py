@@ -48,7 +48,7 @@ def ranked(candidates: DataFrame, k: int) -> DataFrame:
     return found.select("qid", "rank", "id", "distance")
 
 
-class _Best:
+class Best:
     """The k nearest rows of each query so far."""
 
     def __init__(self, n: int, k: int):
@@ -63,6 +63,14 @@ class _Best:
             return np.nonzero(d <= limit[:, None])
         return kernels.smallest(d, order, self.k)
 
+    def scan(self, mode: str, q: np.ndarray, inverse: np.ndarray, v: np.ndarray, row: np.ndarray, id_: np.ndarray, strict: bool) -> None:
+        """Scores the rows ``v``, numbered ``row``, for all queries."""
+        for s in range(0, len(row), ROWS):
+            for t in range(0, len(q), ROWS):
+                d = kernels.scores(mode, q[t : t + ROWS], inverse[t : t + ROWS], v[s : s + ROWS], strict)
+                at, c = self.candidates(d, t, row[s : s + ROWS])
+                self.add(at + t, row[s : s + ROWS][c], id_[s : s + ROWS][c], d[at, c])
+
     def add(self, q: np.ndarray, row: np.ndarray, id_: np.ndarray, d: np.ndarray) -> None:
         q, row, id_, d = (np.concatenate(x) for x in ((self.q, q), (self.row, row), (self.id, id_), (self.d, d)))
         order = np.lexsort((row, d, q))
@@ -94,15 +102,10 @@ def candidates(rows: DataFrame, queries: DataFrame, config: CollectionConfig, pa
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             qids, q, inverse = sent.value
-            best = _Best(len(q), k)
+            best = Best(len(q), k)
             for batch in batches:
                 row, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                v = kernels.matrix(batch.column(2), dim)
-                for s in range(0, len(row), ROWS):
-                    for t in range(0, len(q), ROWS):
-                        d = kernels.scores(mode, q[t : t + ROWS], inverse[t : t + ROWS], v[s : s + ROWS], strict)
-                        at, c = best.candidates(d, t, row[s : s + ROWS])
-                        best.add(at + t, row[s : s + ROWS][c], id_[s : s + ROWS][c], d[at, c])
+                best.scan(mode, q, inverse, kernels.matrix(batch.column(2), dim), row, id_, strict)
             yield pa.RecordBatch.from_arrays([pa.array(qids[best.q]), pa.array(best.row), pa.array(best.id), pa.array(best.d)], ["qid", "row_id", "id", "distance"])
 
         found.append(live.mapInArrow(scan, CANDIDATE))

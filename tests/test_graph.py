@@ -130,3 +130,24 @@ def test_every_node_is_linked_where_candidates_are_full(v):
         assert set(members[linked[members] == 0].tolist()) <= {g.entry}
         assert (g.linked[at] == linked[members]).all() and (place[links[links >= 0]] >= 0).all()
         assert all(len(set(own)) == len(own) and node not in own for node, own in zip(members.tolist(), ([x for x in own if x >= 0] for own in links.tolist())))
+
+
+def test_a_beam_with_room_for_all_finds_what_is_in_reach(monkeypatch):
+    """The beam itself finds the same, from any start, also where links lead one way and nodes are deleted."""
+    v, q = clustered(300, 16, 10), clustered(50, 16, 11)
+    p = GraphParams(m=2, ef_construction=4)
+    g = graph.Graph(v, random.levels(np.arange(300), p.seed, 4, p.max_level), "l2", p).grow()
+    g.links[0][np.random.default_rng(2).random(g.links[0].shape) < 0.5] = -1
+    one = np.ones(50, np.float32)
+    for gone in (None, np.random.default_rng(1).random(300) < 0.4):
+        current = g.far(q, one, np.full((50, 1), g.entry))[:, 0]
+        for at in range(int(g.levels[g.entry]), 0, -1):
+            g.descend(q, one, current, at, np.ones(50, bool))
+        keys = g.beam(q, one, current[:, None], 301, 0, gone)
+        keys = np.sort(np.where((graph.nodes_of(keys) >= 0) & ~(np.zeros(300, bool) if gone is None else gone)[graph.nodes_of(keys)], keys, graph.NONE), 1)[:, :20]
+        nodes, d = graph.nodes_of(keys), graph.distances_of(keys)
+        assert len({tuple(x) for x in nodes}) > 1 and (nodes < 0).any()
+        with monkeypatch.context() as m:
+            m.setattr(graph.Graph, "beam", lambda *_: pytest.fail("a step for each node"))
+            got = g.search(q, one, 20, 300, gone)
+        assert (got[0][:, : nodes.shape[1]] == nodes).all() and (got[1][:, : nodes.shape[1]] == d).all()
