@@ -129,11 +129,20 @@ def search_expression(rows: DataFrame, queries: DataFrame, config: CollectionCon
 
 
 def search_lateral(rows: DataFrame, queries: DataFrame, config: CollectionConfig, k: int) -> DataFrame:
-    """The same result by a correlated subquery: for each query the k nearest rows of a lateral join, parts of the queries at a time."""
+    """The same result by a correlated subquery: for each query the k nearest rows of a lateral join, parts of the queries at a time.
+
+    The subquery knows its query by id and a hash of the vector, and finds the vector itself. Were it correlated by the
+    vector, each pair of a query and a row would be sorted by the vector's components.
+    """
     live = rows.where("not deleted").select("row_id", "id", "vector")
-    distance = vectors.score(config.mode, F.col("query").outer(), F.col("inverse").outer(), F.col("vector")).alias("distance")
-    near = live.select("row_id", "id", distance).orderBy("distance", "row_id").limit(k)
-    found = [q.lateralJoin(near).select("qid", "row_id", "id", "distance") for q in _parts(queries, config)]
+    distance = vectors.score(config.mode, F.col("query"), F.col("inverse"), F.col("vector")).alias("distance")
+    found = []
+    for q in _parts(queries, config):
+        q = q.withColumn("mark", F.xxhash64("query"))
+        asked = F.broadcast(q.select(F.col("qid").alias("asked"), F.col("mark").alias("asked_mark"), "query", "inverse").dropDuplicates(["asked", "asked_mark"]))
+        own = F.col("asked").eqNullSafe(F.col("qid").outer()) & (F.col("asked_mark") == F.col("mark").outer())
+        near = live.join(asked).where(own).select("row_id", "id", distance).orderBy("distance", "row_id").limit(k)
+        found.append(q.select("qid", "mark").lateralJoin(near).select("qid", "row_id", "id", "distance"))
     return ranked(reduce(DataFrame.union, found), k)
 
 
