@@ -24,7 +24,7 @@ def _within(name: str, value: int, least: int, most: int) -> None:
 
 @dataclass(frozen=True)
 class GraphParams:
-    """Of the layered proximity graph: links a node, construction and search beams, levels, level seed."""
+    """Of the layered proximity graph: links a node, construction and search beams (the latter the least where a search names none), levels, level seed."""
 
     m: int = 16
     ef_construction: int = 200

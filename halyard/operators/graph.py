@@ -6,6 +6,9 @@ result depends on the rows and parameters alone. Rows are dealt to shards by the
 shard and ranks what they return, so recall is at least that of one graph with the same beam. All
 searches of a block advance together, so a step is a few operations on arrays.
 
+The beam that a recall takes grows with a shard. Where a search names no beam, each shard has its own, the graph's
+``ef_search`` or wider, fitted when it is packed: to what a bounded sample of its rows, left out of its links, needs.
+
 Graphs are tables, one row a node: (shard, node, row_id, id, vector, deleted, level, links), ``links`` holding
 the neighbours by level; the first node of a shard also has what its build counted: distances, and orphans
 that were linked or left. For searches a shard is packed into one row of flat arrays, once for a graph.
@@ -27,9 +30,13 @@ from halyard.operators.validation import check_queries
 from halyard.storage import stored
 
 NODE = "shard int, node int, row_id long, id long, vector array<float>, deleted boolean, level int, links array<array<int>>, computed long, repaired long, unrepaired long"
-PACKED = "shard int, n long, row_ids binary, ids binary, vectors binary, deleted binary, levels binary, links binary"
+PACKED = "shard int, n long, row_ids binary, ids binary, vectors binary, deleted binary, levels binary, links binary, beam int"
 #: Nodes of a batch; queries that advance together; marks of visited nodes, in bytes; vectors of a shard, in bytes.
 BATCH, TOGETHER, VISITED, SHARD_BYTES = 256, 256, 64 << 20, 1 << 29
+#: Rows of a shard, the nearest of each, and the share of these by which its beam is fitted.
+FITTED_ON, FITTED_K, FITTED_RECALL = 64, 10, 0.97
+#: A beam wider than this share of a shard costs more than to score all that is in reach.
+WIDEST = 1 / 16
 #: Key of nothing; keys order by distance, then by node; the lowest bit tells whether the node was expanded.
 NONE = np.int64((1 << 63) - 1)
 
@@ -358,6 +365,33 @@ class Graph:
         return nodes, d
 
 
+    def fitted(self, deleted: np.ndarray | None) -> int:
+        """The beam, ``ef_search`` or wider, by which a sample of the nodes finds its nearest among the others; one for all nodes if that is not narrow.
+
+        No link leads to the sample, as none leads to a query that is not a row.
+        """
+        n, width = len(self.v), self.params.ef_search
+        own = np.unique(np.linspace(0, n - 1, min(FITTED_ON, n // 16), dtype=np.int64))
+        own = own[own != self.entry]
+        hidden = np.isin(np.arange(n + 1), own)  # the last for -1
+        rest = np.flatnonzero(~hidden[:-1] if deleted is None else ~(hidden[:-1] | deleted))
+        if not len(own) or not len(rest):
+            return width
+        g = Graph(self.v, self.levels, self.mode, self.params)
+        g.links, g.entry, g.count = [np.where(hidden[x], -1, x) for x in self.links], self.entry, self.count
+        q = self.v[own]
+        inverse = kernels.inverse_norm(q) if self.mode.endswith("unit") else np.ones(len(q), np.float32)
+        best = Best(len(q), FITTED_K)
+        best.scan(self.mode, q, inverse, self.v[rest], rest, rest, True)
+        while True:
+            d = g.search(q, inverse, FITTED_K, width, deleted)[1]
+            if (np.isfinite(d) & (d <= best.limit[:, None])).sum() >= FITTED_RECALL * len(best.q):
+                return width
+            width += max(1, width // 2)
+            if width > WIDEST * n:
+                return max(n, self.params.ef_search)
+
+
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The numbers from each start to before its end, one range after the other."""
     n = end - start
@@ -396,7 +430,7 @@ def build(rows: DataFrame, config: CollectionConfig) -> DataFrame:
 
 
 def packed(graph: DataFrame, config: CollectionConfig) -> DataFrame:
-    """The shards of ``graph``, a row of flat arrays each, stored; searches read them without a shuffle."""
+    """The shards of ``graph``, a row of flat arrays each with its fitted beam, stored; searches read them without a shuffle."""
     m = config.graph.m
 
     def pack(table: pa.Table) -> pa.Table:
@@ -407,8 +441,11 @@ def packed(graph: DataFrame, config: CollectionConfig) -> DataFrame:
             row[: len(own)] = own
         v = kernels.matrix(table.column("vector").combine_chunks(), config.dim)
         levels, gone = np.array(table.column("level").to_pylist(), np.uint8), np.array(table.column("deleted").to_pylist(), np.uint8)
+        names = [c.split()[0] for c in PACKED.split(", ")]
         parts = [*(np.array(table.column(c).to_pylist(), np.int64) for c in ("row_id", "id")), v, gone, levels, flat]
-        return pa.table([table.column("shard")[:1], pa.array([len(v)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=[c.split()[0] for c in PACKED.split(", ")])
+        row = dict(zip(names[1:-1], (len(v), *(x.tobytes() for x in parts))))
+        g, _, _, deleted = _unpacked(row, config)
+        return pa.table([table.column("shard")[:1], pa.array([len(v)], pa.int64()), *(pa.array([row[x]], pa.binary()) for x in names[2:-1]), pa.array([g.fitted(deleted)], pa.int32())], names=names)
 
     return stored(graph.select("shard", "node", "row_id", "id", "vector", "deleted", "level", "links").groupBy("shard").applyInArrow(pack, PACKED))
 
@@ -429,10 +466,12 @@ def _unpacked(row: dict, config: CollectionConfig) -> tuple[Graph, np.ndarray, n
 def graph_search(graph: DataFrame, queries: DataFrame, config: CollectionConfig, params: SearchParams = SearchParams()) -> DataFrame:
     """(qid, rank, id, distance) of ``queries`` by the graphs of all shards; ``graph`` is a graph's table, or what :func:`packed` made of it.
 
-    Each block of queries is sent to the shards in parts, so that few shards keep all cores busy too.
+    Each block of queries is sent to the shards in parts, so that few shards keep all cores busy too. Without a beam in
+    ``params`` a shard is searched by its fitted one, wider by what ``k`` is above FITTED_K.
     """
     check_queries(queries, config)
-    spark, dim, k, width = graph.sparkSession, config.dim, params.k, params.beam(config.graph)
+    spark, dim, k = graph.sparkSession, config.dim, params.k
+    width = params.beam(config.graph) if params.ef_search else None
     shards = graph if "vectors" in graph.columns else packed(graph, config)
     found = spark.createDataFrame([], CANDIDATE)
     parts = max(1, -(-spark.sparkContext.defaultParallelism // max(1, shards.count())))
@@ -444,14 +483,14 @@ def graph_search(graph: DataFrame, queries: DataFrame, config: CollectionConfig,
     return ranked(found, k)
 
 
-def _answer(sent, config: CollectionConfig, k: int, width: int, parts: int):
+def _answer(sent, config: CollectionConfig, k: int, width: int | None, parts: int):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q, inverse = sent.value
         for batch in batches:
             for row in batch.to_pylist():
                 g, row_ids, ids, gone = _unpacked(row, config)
                 own = slice(row["part"], None, parts)
-                nodes, d = g.search(q[own], inverse[own], k, width, gone)
+                nodes, d = g.search(q[own], inverse[own], k, width or row["beam"] + max(0, k - FITTED_K), gone)
                 r, c = np.nonzero(nodes >= 0)
                 hit = nodes[r, c]
                 yield pa.RecordBatch.from_arrays([pa.array(qids[own][r], pa.int64()), pa.array(row_ids[hit], pa.int64()), pa.array(ids[hit], pa.int64()), pa.array(d[r, c], pa.float32())], ["qid", "row_id", "id", "distance"])

@@ -151,3 +151,20 @@ def test_a_beam_with_room_for_all_finds_what_is_in_reach(monkeypatch):
             m.setattr(graph.Graph, "beam", lambda *_: pytest.fail("a step for each node"))
             got = g.search(q, one, 20, 300, gone)
         assert (got[0][:, : nodes.shape[1]] == nodes).all() and (got[1][:, : nodes.shape[1]] == d).all()
+
+
+def test_a_search_that_names_no_beam_has_one_that_fits_the_shards(spark):
+    config = CollectionConfig(16, index="hnsw", graph=GraphParams(m=8, ef_construction=40, ef_search=10, shards=2))
+    v, q = (np.random.default_rng(i).normal(size=(n, 16)).astype(np.float32) for i, n in ((1, 3000), (2, 60)))
+    base = rows(spark, v)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "qid long, query array<float>")
+    truth = exact_search(base, asked, config, SearchParams(10)).cache()
+    shards = graph.packed(graph.build(base, config), config)
+    recall = lambda params: evaluation.recall_summary(graph.graph_search(shards, asked, config, params), truth, 10).first()["mean_recall"]
+    assert recall(SearchParams(10)) >= 0.95
+    assert recall(SearchParams(10, 10)) < 0.95  # a beam that is named is kept
+    assert graph.graph_search(shards, asked, config, SearchParams(20)).count() == 20 * 60
+    beams = [r["beam"] for r in shards.collect()]
+    assert all(10 < b < 1500 for b in beams)
+    # it depends on the rows alone
+    assert sorted(beams) == sorted(r["beam"] for r in graph.packed(graph.build(base.repartition(3), config), config).collect())
